@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import cutoffs, group_splits, near_duplicates, term_counts, text_forms
+from inkstone.llm import cutoffs, eval_leaks, group_splits, near_duplicates, residue, term_counts, text_forms, tokenization
 from inkstone.session import materialize, spread, table
 
 
@@ -135,6 +135,28 @@ FROM n WHERE at_or_above * 100 >= target_pct * n GROUP BY ALL
 """
 
 
+# Problems 8, 9 and 10 ------------------------------------------------------------------------------
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    documents = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return tokenization.encode_corpus(documents, "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return eval_leaks.leaked_items(documents, "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p10_residue(spark: SparkSession, d: str) -> DataFrame:
+    documents = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return residue.residue_documents(documents, "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_residue(spark, d).select("doc_id")
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(fn)}
 
