@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import cutoffs, eval_leaks, group_splits, near_duplicates, residue, term_counts, text_forms, tokenization
+from inkstone.llm import cutoffs, eval_leaks, group_splits, language_id, near_duplicates, residue, term_counts, text_forms, tokenization
 from inkstone.session import materialize, spread, table
 
 
@@ -135,6 +135,35 @@ FROM n WHERE at_or_above * 100 >= target_pct * n GROUP BY ALL
 """
 
 
+# Problem 7 -----------------------------------------------------------------------------------------
+
+
+def _p7_detected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    tasks = table(spark, d, "tasks").select("row_idx", "prompt")
+    labels = table(spark, d, "results").groupBy("row_idx").agg(F.max("lang_label").alias("lang_label"))
+    model = language_id.train(language_id.labelled_sample(tasks, labels, "row_idx", "prompt", "lang_label"))
+    return language_id.detect_languages(spread(tasks), "row_idx", "prompt", model), labels
+
+
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = _p7_detected(spark, d)
+    parts = found.select("row_idx", F.posexplode("segments").alias("segment", "s"))
+    return parts.select("row_idx", "segment", *[F.col("s")[c].alias(c) for c in ("start", "end", "lang", "confidence", "ambiguous")])
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = _p7_detected(spark, d)
+    return language_id.languages_of(found, "row_idx")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found, labels = _p7_detected(spark, d)
+    named = labels.select("row_idx", language_id.label_language(F.col("lang_label")).alias("label"))
+    held = language_id.languages_of(found, "row_idx").select("row_idx", "langs").where("size(langs) > 0")
+    wrong = (F.size("langs") > 1) | (F.coalesce("label", F.lit("")) != F.get("langs", F.lit(0)))
+    return held.join(named, "row_idx", "left").where(wrong).select("row_idx", F.explode("langs").alias("lang"))
+
+
 # Problems 8, 9 and 10 ------------------------------------------------------------------------------
 
 
