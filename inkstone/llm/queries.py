@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm import cutoffs, eval_leaks, group_splits, language_id, near_duplicates, residue, term_counts, text_forms, tokenization
+from inkstone.llm import batch_dedup, cutoffs, eval_leaks, group_splits, language_id, near_duplicates, residue, term_counts, text_forms, tokenization
 from inkstone.session import materialize, spread, table
 
 
@@ -135,6 +135,16 @@ FROM n WHERE at_or_above * 100 >= target_pct * n GROUP BY ALL
 """
 
 
+# Problem 6 -----------------------------------------------------------------------------------------
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    tasks = table(spark, d, "tasks").select("row_idx", "task_id", "prompt")
+    batches = table(spark, d, "fingerprints").select("row_idx", "batch_id")
+    words = text_forms.words(text_forms.form("prompt"))
+    return batch_dedup.batch_duplicates(tasks, batches, "row_idx", text_forms.task_key(F.col("task_id")), words, "batch_id")
+
+
 # Problem 7 -----------------------------------------------------------------------------------------
 
 
