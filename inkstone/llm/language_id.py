@@ -28,13 +28,13 @@ from inkstone.llm.text_forms import consistent_form
 
 LANGUAGES = ("en", "fr", "de", "es", "pt", "it", "nl", "ru", "zh")
 SAMPLE_PER_LANGUAGE = 300
-SEGMENTS_PER_LANGUAGE = 1200
+SEGMENTS_PER_LANGUAGE = 1500
 DIMENSIONS = 1 << 14
 BITS = 15
 MIN_WORDS = 5
 MIN_HAN = 7
 WINDOW_WORDS = 14
-AMBIGUOUS = 0.7
+AMBIGUOUS = 0.9
 SMOOTHING = 0.5
 TEMPERATURE = 4.0
 
@@ -58,9 +58,7 @@ def label_language(label: Column) -> Column:
 
 
 _STOP = re.compile("(?<=[.!?…])\\s+|(?<=[。！？!?])|\n+|(?<=;)\\s+")
-_BULLET = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_CODED = re.compile(r"[^\s]*\d[^\s]*")
 _HAN = re.compile("[㐀-鿿]")
 
 
@@ -71,22 +69,20 @@ def segments(text: str) -> list[tuple[int, int, str]]:
     for stop, after in bounds:
         if stop > at:
             part = text[at:stop]
-            words = list(re.finditer(r"\S+", part))
+            words = list(re.finditer(r"\S+", part)) if part.count(" ") >= 2 * WINDOW_WORDS else ()
             if len(words) > 2 * WINDOW_WORDS:
                 count = len(words) // WINDOW_WORDS
                 cuts = [words[k * len(words) // count].start() for k in range(count)] + [len(part)]
                 out += [(at + a, at + b, part[a:b]) for a, b in zip(cuts, cuts[1:])]
-            elif words:
+            else:
                 out.append((at, stop, part))
         at = after
     return out
 
 
 def _clean(part: str) -> list[str]:
-    """Words that can tell a language: codes and numbers dropped, case folded."""
-    if _HAN.search(part):
-        return _WORD.findall(part.casefold())
-    return _WORD.findall(_CODED.sub(" ", _BULLET.sub("", part)).casefold())
+    """Words that can tell a language, case folded; digits tell none."""
+    return _WORD.findall(part.casefold())
 
 
 def _script(points: np.ndarray) -> np.ndarray:
@@ -94,7 +90,7 @@ def _script(points: np.ndarray) -> np.ndarray:
 
 
 def features(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, segment of each slot): hashed words, bigrams, trigrams and scripts of the characters."""
+    """(slots, segment of each slot): hashed words, trigrams, and scripts of characters other than Latin."""
     flat = "".join(" " + " ".join(ws) + " " for ws in parts)
     sizes = np.array([len(" ".join(ws)) + 2 for ws in parts], dtype=np.int64)
     c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -102,9 +98,8 @@ def features(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     p, q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
     mixed = c * p
     blank = c == 32
-    two = (mixed[:-1] * q + mixed[1:]) if len(c) > 1 else mixed[:0]
-    three = (two[:-1] * q + mixed[2:]) if len(c) > 2 else mixed[:0]
-    same2, same3 = owner[:-1] == owner[1:], owner[:-2] == owner[2:]
+    three = ((mixed[:-2] * q + mixed[1:-1]) * q + mixed[2:]) if len(c) > 2 else mixed[:0]
+    same3 = owner[:-2] == owner[2:]
     # A word's hash is the difference of prefix sums of position-free character hashes and its length.
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
@@ -116,14 +111,14 @@ def features(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     powers = np.multiply.accumulate(np.full(64, 0x100000001B3, dtype=np.uint64))
     weighted = np.cumsum(m * powers[np.minimum(place - first, 63)])
     words = weighted[ends - 1] - weighted[starts - 1]
-    hashed = np.concatenate([two[same2] + np.uint64(2), three[same3] + np.uint64(3), words + np.uint64(5)])
+    hashed = np.concatenate([three[same3] + np.uint64(3), words + np.uint64(5)])
     hashed ^= hashed >> np.uint64(33)
     hashed *= np.uint64(0xFF51AFD7ED558CCD)
     slots = ((hashed >> np.uint64(40)) % np.uint64(DIMENSIONS - 8)).astype(np.int64) + 8
-    letters = ~blank
+    letters = c >= 0x250
     return (
         np.concatenate([slots, _script(c[letters]).astype(np.int64)]),
-        np.concatenate([owner[:-1][same2], owner[:-2][same3], owner[starts], owner[letters]]),
+        np.concatenate([owner[:-2][same3], owner[starts], owner[letters]]),
     )
 
 
