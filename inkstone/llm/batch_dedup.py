@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from inkstone.llm.graph_index import Graph, sketch
-from inkstone.llm.near_duplicates import shingle_classes, verify
+from inkstone.llm.near_duplicates import shingles, signature, signed_members, verify
 from inkstone.session import materialize
 
 WIDTH = 64
@@ -67,13 +67,12 @@ def _graph_of(level: Column, number: Column, part: Column) -> Column:
     return F.concat_ws("/", level, number, part)
 
 
-def class_neighbours(classes: DataFrame, batches: int, threshold: float, graph_nodes: int = GRAPH_NODES) -> DataFrame:
-    """(cid_a < cid_b): classes found at or above the threshold, one of a batch before the other's last.
+def neighbour_candidates(nodes: DataFrame, batches: int, graph_nodes: int = GRAPH_NODES) -> DataFrame:
+    """(cid_a < cid_b): classes whose sketches are close, one of a batch before the other's last.
 
-    ``classes`` has cid, n, sh, vec, first and last (numbers of the first and last batch of its rows).
+    ``nodes`` has cid, vec, first and last (numbers of the first and last batch of the class's rows).
     """
-    spark = classes.sparkSession
-    nodes = classes.select("cid", "vec", "first", "last")
+    spark = nodes.sparkSession
     per_batch = {r["first"]: r["n"] for r in nodes.groupBy("first").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = sorted({s for b in range(batches) for s in segments_before(b)})
     held = {(lv, k): sum(per_batch.get(b, 0) for b in range(k * FAN_IN**lv, (k + 1) * FAN_IN**lv)) for lv, k in used}
@@ -116,8 +115,7 @@ def class_neighbours(classes: DataFrame, batches: int, threshold: float, graph_n
     n = max(1, sum(load.values()))
     left, right = queries.repartition(n, "graph", "block"), copies.repartition(n, "graph", "block")
     found = left.groupBy("graph", "block").cogroup(right.groupBy("graph", "block")).applyInArrow(search, "q bigint, x bigint")
-    candidates = materialize(found.where("q != x").select(F.least("q", "x").alias("cid_a"), F.greatest("q", "x").alias("cid_b")).distinct(), "candidates")
-    return verify(candidates, classes.select("cid", "n", "sh"), threshold).select("cid_a", "cid_b")
+    return found.where("q != x").select(F.least("q", "x").alias("cid_a"), F.greatest("q", "x").alias("cid_b")).distinct()
 
 
 def settle(rows: DataFrame, near: DataFrame) -> DataFrame:
@@ -149,15 +147,28 @@ def batch_duplicates(tasks: DataFrame, batches: DataFrame, id_col: str, key: Col
     names = sorted(r[0] for r in named.select("name").distinct().collect())
     numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)] or [("", 0)], "name string, batch int")
     numbered = named.join(F.broadcast(numbers), "name").select(id_col, "batch")
-    rows = tasks.select(F.col(id_col), key.alias("k"), words.alias("w")).join(numbered, id_col)
-    hashed = F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))
-    members, classes = shingle_classes(rows.where("w is not null"), id_col, "w", None, 3, {"wh": hashed})
-    sketched = materialize(classes.select("cid", "n", "sh", _sketch_udf("wh", "sh").alias("vec")), "classes")
+    worded = tasks.select(F.col(id_col).alias("id"), words.alias("w")).where("w is not null")
+
+    def parts(w: Column) -> Column:
+        return F.struct(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x))).alias("wh"), shingles(w, 3).alias("sh"))
+
+    def shingled(rows: DataFrame) -> DataFrame:
+        return rows.select("id", F.get(F.transform(F.array("w"), parts), F.lit(0)).alias("p")).select("id", "p.wh", "p.sh").where(F.size("sh") > 0)
+
+    # Shingle sets are not kept: only signatures and sketches are, and the sets of candidates are made again.
+    signed = materialize(shingled(worded).select("id", *signature(F.col("sh")), _sketch_udf("wh", "sh").alias("vec")), "signed")
+    within = signed.join(numbered.select(F.col(id_col).alias("id")), "id", "left_semi")
+    members, heads = signed_members(within.select("id", "s1", "s2"))
     placed = materialize(
         tasks.select(F.col(id_col).alias("id"), key.alias("k")).join(numbered.withColumnRenamed(id_col, "id"), "id").join(members, "id", "left"), "placed"
     )
     spans = placed.where("cid is not null").groupBy("cid").agg(F.min("batch").alias("first"), F.max("batch").alias("last"))
-    pairs = materialize(class_neighbours(sketched.join(spans, "cid"), len(names), threshold), "pairs")
+    sketched = signed.join(heads, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("cid"), "vec")
+    candidates = materialize(neighbour_candidates(materialize(sketched.join(spans, "cid"), "nodes"), len(names)), "candidates")
+    wanted = candidates.select(F.explode(F.array("cid_a", "cid_b")).alias("id")).distinct()
+    sets = shingled(worded.join(wanted, "id", "left_semi")).select("id", *signature(F.col("sh")), "sh").join(heads, ["id", "s1", "s2"], "left_semi")
+    sets = materialize(sets.dropDuplicates(["id"]).select(F.col("id").alias("cid"), F.size("sh").alias("n"), "sh"), "sets")
+    pairs = materialize(verify(candidates, sets, threshold).select("cid_a", "cid_b"), "pairs")
     own = spans.where("first < last").select(F.col("cid").alias("c"), F.col("cid").alias("d"))
     both = F.array(F.struct(F.col("cid_a").alias("c"), F.col("cid_b").alias("d")), F.struct(F.col("cid_b").alias("c"), F.col("cid_a").alias("d")))
     near = pairs.select(F.explode(both).alias("e")).select("e.c", "e.d")

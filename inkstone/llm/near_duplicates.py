@@ -46,20 +46,28 @@ def at_least(shared: Column, size_a: Column, size_b: Column, threshold: float) -
     return shared + F.lit(1e-9) >= F.lit(threshold) * (size_a + size_b - shared)
 
 
-def shingle_classes(
-    rows: DataFrame, id_col: str, words_col: str, block_col: str | None, width: int, carry: dict[str, Column] | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(members: id, cid), (classes: cid, n, sh, carried...): classes are the distinct shingle sets within a block."""
-    extra = list(carry or {})
+def shingle_classes(rows: DataFrame, id_col: str, words_col: str, block_col: str | None, width: int) -> tuple[DataFrame, DataFrame]:
+    """(members: id, cid), (classes: cid, n, sh): classes are the distinct shingle sets within a block."""
     block = F.coalesce(F.col(block_col).cast("string"), F.lit("\0null")) if block_col else None
-    shingled = rows.select(F.col(id_col).alias("id"), shingles(F.col(words_col), width, block).alias("sh"), *[c.alias(name) for name, c in (carry or {}).items()]).where(F.size("sh") > 0)
-    shingled = materialize(shingled.select("id", F.xxhash64("sh").alias("s1"), F.xxhash64(F.lit(7), "sh").alias("s2"), "sh", *extra), "shingled")
-    signed = shingled.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("s")).select("id", "s.s1", "s.s2")
-    cids = signed.groupBy("s1", "s2").agg(F.min("id").alias("cid"))
-    members = materialize(signed.join(cids, ["s1", "s2"]).select("id", "cid"), "members")
-    heads = signed.join(cids.withColumnRenamed("cid", "id"), ["s1", "s2", "id"], "left_semi")
-    classes = shingled.join(heads, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id"])
-    return members, classes.select(F.col("id").alias("cid"), F.size("sh").alias("n"), "sh", *extra)
+    shingled = rows.select(F.col(id_col).alias("id"), shingles(F.col(words_col), width, block).alias("sh")).where(F.size("sh") > 0)
+    shingled = materialize(shingled.select("id", *signature(F.col("sh")), "sh"), "shingled")
+    members, heads = signed_members(shingled.select("id", "s1", "s2"))
+    same = (F.col("r.id") == F.col("h.id")) & (F.col("r.s1") == F.col("h.s1")) & (F.col("r.s2") == F.col("h.s2"))
+    classes = shingled.alias("r").join(heads.alias("h"), same, "left_semi").dropDuplicates(["id"])
+    return members, classes.select(F.col("id").alias("cid"), F.size("sh").alias("n"), "sh")
+
+
+def signature(shingle_set: Column) -> list[Column]:
+    """A 128-bit signature of a sorted shingle set, in two columns."""
+    return [F.xxhash64(shingle_set).alias("s1"), F.xxhash64(F.lit(7), shingle_set).alias("s2")]
+
+
+def signed_members(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members: id, cid), (heads: id, s1, s2) of rows (id, s1, s2); a class is named by its smallest id."""
+    one = signed.groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("s")).select("id", "s.s1", "s.s2")
+    cids = one.groupBy("s1", "s2").agg(F.min("id").alias("cid"))
+    members = materialize(one.join(cids, ["s1", "s2"]).select("id", "cid"), "members")
+    return members, cids.select(F.col("cid").alias("id"), "s1", "s2")
 
 
 def class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
