@@ -18,11 +18,12 @@ keys match nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from inkstone.llm.graph_index import Graph, sketch
 from inkstone.llm.near_duplicates import shingles, signature, signed_members, verify
@@ -36,16 +37,18 @@ QUERY_ROWS = 16_384
 SKETCH_THRESHOLD = 0.62
 
 
-@F.arrow_udf(BinaryType())
-def _sketch_udf(words: pa.Array, shingles: pa.Array) -> pa.Array:
-    n = len(words)
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, s1, s2, wh, sh) to (id, s1, s2, vec): sketches of words and shingles, one byte a dimension."""
+    for batch in batches:
+        n = batch.num_rows
 
-    def of(lists: pa.Array) -> np.ndarray:
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        return sketch(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(n), sizes), n, WIDTH)
+        def of(lists: pa.Array, n: int = n) -> np.ndarray:
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            return sketch(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(n), sizes), n, WIDTH)
 
-    both = np.hstack([of(words), of(shingles)]) / np.sqrt(2)
-    return pa.array([row.tobytes() for row in np.round(both * 127).astype(np.int8)], pa.binary())
+        both = np.round(np.hstack([of(batch.column(3)), of(batch.column(4))]) * (127 / np.sqrt(2))).astype(np.int8)
+        vectors = pa.array([row.tobytes() for row in both], pa.binary())
+        yield pa.record_batch([*batch.columns[:3], vectors], names=["id", "s1", "s2", "vec"])
 
 
 def _unit(vectors: list[bytes]) -> np.ndarray:
@@ -156,7 +159,8 @@ def batch_duplicates(tasks: DataFrame, batches: DataFrame, id_col: str, key: Col
         return rows.select("id", F.get(F.transform(F.array("w"), parts), F.lit(0)).alias("p")).select("id", "p.wh", "p.sh").where(F.size("sh") > 0)
 
     # Shingle sets are not kept: only signatures and sketches are, and the sets of candidates are made again.
-    signed = materialize(shingled(worded).select("id", *signature(F.col("sh")), _sketch_udf("wh", "sh").alias("vec")), "signed")
+    hashed = shingled(worded).select(F.col("id").cast("bigint"), *signature(F.col("sh")), "wh", "sh")
+    signed = materialize(hashed.mapInArrow(_sketched, "id bigint, s1 bigint, s2 bigint, vec binary"), "signed")
     within = signed.join(numbered.select(F.col(id_col).alias("id")), "id", "left_semi")
     members, heads = signed_members(within.select("id", "s1", "s2"))
     placed = materialize(
