@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import lexicon, tables, text
-from inkstone.operators import cohort, fusion, residue_python, sequences, signals, similarity
+from inkstone.operators import cohort, models, residue_python, sequences, signals, similarity
 from inkstone.plans import pipeline
 from inkstone.session import materialize, spread, table
 
@@ -519,3 +519,28 @@ def semantic_resonance(spark, d):
 def windowed_events(spark, d):
     e = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return e.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+# Models --------------------------------------------------------------------------------------------
+
+
+@query()
+def shadow_scores(spark, d):
+    """Probability of the shadow classifier for every result, trained on the labelled ones."""
+    features = ["prompt_signature_composite", "instruction_density_idi", "voice_dissonance_vsd", "self_similarity_nssi_score", "lang_fw_coverage"]
+    results = table(spark, d, "results")
+    truth = cohort.latest(table(spark, d, "confirmed").select("task_id", "ground_truth", "verified_at", "confirm_id"), "task_id", ["verified_at", "confirm_id"])
+    data = materialize(models.labelled_features(results.join(truth, "task_id"), features), "labelled")
+    model = models.shadow_model(data, features)
+    filled = results.select("result_id", "determination", *[F.coalesce(F.when(~F.isnan(f), F.col(f)), F.lit(0.0)).alias(f) for f in features])
+    scored = model.transform(filled.withColumn("label", F.lit(0.0)).withColumn("weight", F.lit(1.0)))
+    p = models.probability(scored)
+    return scored.select(
+        "result_id", "determination", F.round(p, 6).alias("p_ai"), models.ml_determination(p).alias("ml_determination"), models.shadow_disagreement(F.col("determination"), p).alias("disagreement")
+    )
+
+
+@query()
+def html_reports(spark, d):
+    t = spread(_texts(spark, d).where("t != ''"))
+    return t.select("row_idx", residue_python.highlighted(F.col("t")).alias("html"))
