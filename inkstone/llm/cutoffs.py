@@ -25,6 +25,13 @@ def latest_records(rows: DataFrame, key: str, at: str, columns: dict[str, Column
 
 def fraction_cutoffs(records: DataFrame, group: list[str], score: str, percent: str, accuracy: int = ACCURACY) -> DataFrame:
     """(group..., cutoff, kept): largest score at or above which lie at least ``percent`` % of the group."""
+    inner = [f"_group{i}" for i in range(len(group))]
+    renamed = records.select(*[F.col(c).alias(g) for c, g in zip(group, inner)], F.col(score).alias("_score"), F.col(percent).alias("_percent"))
+    found = _select(renamed, inner, "_score", "_percent", accuracy)
+    return found.select(*[F.col(g).alias(c) for c, g in zip(group, inner)], "cutoff", "kept")
+
+
+def _select(records: DataFrame, group: list[str], score: str, percent: str, accuracy: int) -> DataFrame:
     by = [F.col(c) for c in group]
     eps = 1.0 / accuracy
     ratio = 1 - F.col("percent") / 100.0

@@ -30,13 +30,15 @@ class Graph:
     def build(cls, ids: np.ndarray, vectors: np.ndarray, threshold: float, seed: int = 5) -> Graph:
         """Insert the nodes in random order; each links to its nearest found nodes, and they back to it.
 
-        A node's first links are never dropped: those of early nodes span the graph.
+        A node's first links are never dropped: those of early nodes span the graph. Two more links, first
+        child and next sibling, make a tree in which every node is the child of the nearest node before it,
+        so that however many nodes lie close together, each can be reached from the others.
         """
         n = len(ids)
         rng = np.random.default_rng(seed)
         order = rng.permutation(n)
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order], dtype=np.float32)
-        links = np.full((n, DEGREE), -1, dtype=np.int32)
+        links = np.full((n, DEGREE + 2), -1, dtype=np.int32)
         graph = cls(ids, vectors, links, np.arange(min(n, PIVOTS * int(n**0.5) + 16)), BEAMS[0])
         done = 0
         while done < n:
@@ -56,6 +58,10 @@ class Graph:
             found, sims = np.take_along_axis(found, top, 1), np.take_along_axis(sims, top, 1)
             found = np.where(sims > -2, found, -1)
             links[fresh, : found.shape[1]] = found
+            for node, parent in zip(fresh.tolist(), found[:, 0].tolist()):
+                if parent >= 0:
+                    links[node, DEGREE + 1] = links[parent, DEGREE]
+                    links[parent, DEGREE] = node
             graph._link_back(fresh, found, sims)
             done += size
         graph.pivots = np.arange(min(n, PIVOTS * int(n**0.5) + 16))
@@ -69,7 +75,7 @@ class Graph:
         good = target >= 0
         source, target, sim = source[good], target[good], sim[good]
         touched = np.unique(target)
-        back = self.links[touched, FORWARD:]
+        back = self.links[touched, FORWARD:DEGREE]
         held_t = np.repeat(touched, back.shape[1])
         held_s = back.ravel()
         there = held_s >= 0
@@ -81,7 +87,7 @@ class Graph:
         heads = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         rank = np.arange(len(t)) - np.repeat(heads, np.diff(np.append(heads, len(t))))
         keep = rank < DEGREE - FORWARD
-        self.links[touched, FORWARD:] = -1
+        self.links[touched, FORWARD:DEGREE] = -1
         self.links[t[keep], FORWARD + rank[keep]] = s[keep]
 
     def _beam_search(self, queries: np.ndarray, beam: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
