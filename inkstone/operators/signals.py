@@ -149,7 +149,7 @@ def instruction_density(t: Column) -> Column:
 
 
 def lexicon_packs(t: Column) -> Column:
-    """One struct per pack: raw, keyword, upper-case and weighted hits."""
+    """One struct per pack: raw, upper-case and weighted hits."""
     return F.struct(*[lexicon.pack_struct(t, n) for n in lexicon.PACKS])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text
 from inkstone.operators import fusion, residue_python, signals
+from inkstone.session import materialize
 
 
 def signalled(rows: DataFrame, text_col: str, normalize: bool = True) -> DataFrame:
@@ -26,15 +27,26 @@ def signalled(rows: DataFrame, text_col: str, normalize: bool = True) -> DataFra
         .withColumn("windows", signals.windows(t))
         .withColumn("expository", signals.expository(t))
     )
-    sentences = F.size(text.sentences(t))
-    return df.withColumn("raised", signals.enhanced(F.col("signature"), F.col("voice"), F.col("density"), F.col("packs"), sentences, F.col("word_count")))
+    return df.withColumn("sentence_count", F.size(text.sentences(t)))
 
 
-def determined(df: DataFrame, with_models: bool = True, disabled: tuple[str, ...] = (), mode: str = "auto") -> DataFrame:
-    """Adds ``nssi``, ``cont`` and ``verdict``. Without models, compression and continuation stay out."""
+def modelled(df: DataFrame) -> DataFrame:
+    """Adds what needs Python: compression ratios and the local continuation model."""
     t = F.col("norm.text")
+    return df.withColumn("zip", residue_python.compression(t)).withColumn("cont", residue_python.continuation(t))
+
+
+def score(rows: DataFrame, text_col: str, with_models: bool = True, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """Scored rows. The signals are written once, since fusion reads them many times and an optimizer
+    that inlined them would evaluate every pattern again for every use."""
+    df = signalled(rows, text_col)
+    return determined(materialize(modelled(df) if with_models else df, "signals"), with_models, disabled)
+
+
+def determined(df: DataFrame, with_models: bool = True, disabled: tuple[str, ...] = (), mode: str = "auto") -> DataFrame:
+    """Adds ``raised``, ``nssi``, ``channels`` and ``verdict`` to signals; models need ``modelled`` first."""
+    df = df.withColumn("raised", signals.enhanced(F.col("signature"), F.col("voice"), F.col("density"), F.col("packs"), F.col("sentence_count"), F.col("word_count")))
     if with_models:
-        df = df.withColumn("zip", residue_python.compression(t)).withColumn("cont", residue_python.continuation(t))
         df = df.withColumn("nssi", signals.self_similarity(F.col("expository"), F.col("zip.comp_ratio"), F.col("zip.shuffled_comp_ratio")))
     else:
         none = F.struct(F.lit(None).cast("string").alias("determination"), F.lit(0.0).alias("confidence"))

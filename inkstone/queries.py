@@ -218,8 +218,7 @@ def signal_spans(spark, d):
 
 
 def _scored(spark, d, models: bool = False, disabled: tuple[str, ...] = ()) -> DataFrame:
-    tasks = spread(table(spark, d, "tasks"))
-    return pipeline.determined(pipeline.signalled(tasks, "prompt"), models, disabled)
+    return pipeline.score(spread(table(spark, d, "tasks").select("row_idx", "occupation", "attempter", "prompt")), "prompt", models, disabled)
 
 
 @query()
@@ -232,6 +231,13 @@ def verdicts_ablated(spark, d):
     return _scored(spark, d, disabled=("windowing",)).select("row_idx", "verdict.determination", "verdict.confidence", "verdict.triggering_rule")
 
 
+@query()
+def structural_vectors(spark, d):
+    """The sixteen structural features of every submission, as a fingerprint keeps them."""
+    v = pipeline.structural_vector(_scored(spark, d, True))
+    return v.select("row_idx", F.transform("structural_vec", lambda x: F.round(x, 6)).alias("structural_vec"))
+
+
 @query()
 def channel_counts(spark, d):
     s = materialize(_scored(spark, d).select("channels"), "channels").select(F.explode("channels").alias("c"))

@@ -14,7 +14,8 @@ from inkstone.sources.store import Store
 
 def score_stream(submissions: DataFrame, text_col: str = "prompt", with_models: bool = False) -> DataFrame:
     """Scoring keeps no state, so it runs on a stream as on a table."""
-    return pipeline.determined(pipeline.signalled(submissions, text_col), with_models)
+    df = pipeline.signalled(submissions, text_col)
+    return pipeline.determined(pipeline.modelled(df) if with_models else df, with_models)
 
 
 def flag_rates(scored: DataFrame, at: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
