@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import lexicon, tables, text
-from inkstone.operators import cohort, models, residue_python, sequences, signals, similarity
+from inkstone.operators import cohort, continuations, models, residue_python, sequences, signals, similarity
 from inkstone.plans import pipeline
 from inkstone.session import materialize, spread, table
 
@@ -214,6 +214,39 @@ def signal_spans(spark, d):
     return s.select("row_idx", "s.*")
 
 
+def _halves(spark, d) -> DataFrame:
+    w = _texts(spark, d).select("row_idx", text.word_tokens(F.col("t")).alias("w")).withColumn("h", F.floor(F.size("w") / 2).cast("int"))
+    return w.select("row_idx", F.slice("w", 1, F.col("h")).alias("a"), F.expr("slice(w, h + 1, size(w))").alias("b"))
+
+
+_F1 = lambda n: (
+    f"CASE WHEN len(a) >= {n} AND len(b) >= {n} THEN 2.0 * len(list_intersect({{a{n}}}, {{b{n}}})) / (len(list_distinct({{a{n}}})) + len(list_distinct({{b{n}}}))) ELSE 0 END"
+).format(**{f"{s}{n}": f"list_transform(range(1, len({s}) - {n - 2}), lambda i: array_to_string({s}[i:i+{n - 1}], ' '))" for s in "ab"})
+
+
+@query(rf"""WITH {_T}, w AS (SELECT row_idx, regexp_extract_all(lower(t), '[\p{{L}}\p{{M}}\p{{N}}_]+') AS ws FROM t), h AS (SELECT row_idx, ws[:len(ws) // 2] AS a, ws[len(ws) // 2 + 1:] AS b FROM w),
+s AS (SELECT row_idx, 0.25 * {_F1(2)} + 0.5 * {_F1(3)} + 0.25 * {_F1(4)} AS b FROM h)
+SELECT row_idx, round(b, 6) AS bscore, CASE WHEN b >= .22 THEN 'RED' WHEN b >= .12 THEN 'AMBER' WHEN b >= .08 THEN 'YELLOW' ELSE 'GREEN' END AS determination FROM s""")
+def half_overlap(spark, d):
+    """How much of a text's second half repeats its first: the continuation score without a model."""
+    b = spread(_halves(spark, d)).select("row_idx", continuations.overlap_score(F.col("a"), F.col("b")).alias("b"))
+    return b.select("row_idx", F.round("b", 6).alias("bscore"), continuations.determination(F.col("b"), F.col("b")).alias("determination"))
+
+
+@query(rf"""WITH {_T} SELECT row_idx, contains(t, chr(10) || chr(10)) AS paragraphs, regexp_matches(t, '(?m)^\d+[.)]\s') AS numbered, regexp_matches(t, '(?m)^[-•]\s') AS bullets, regexp_matches(t, '(?m)^#+\s') AS headings FROM t""")
+def format_flags(spark, d):
+    return _texts(spark, d).select("row_idx", continuations.format_flags(F.col("t")).alias("f")).select("row_idx", "f.*")
+
+
+@query(rf"""WITH {_T}, p AS (SELECT regexp_extract_all(t, '[!-/:-@\[-^`{{-~]') AS p FROM t), b AS (SELECT unnest(list_transform(range(1, len(p)), lambda i: p[i] || p[i+1])) AS pair FROM p WHERE len(p) > 1)
+SELECT pair, count(*) AS n FROM b GROUP BY pair ORDER BY n DESC, pair LIMIT 20""")
+def punctuation_pairs(spark, d):
+    """The twenty most frequent pairs of successive ASCII punctuation marks, whatever stands between."""
+    p = _texts(spark, d).select(F.regexp_extract_all("t", F.lit(r"([!-/:-@\[-^`{-~])"), F.lit(1)).alias("p")).where(F.size("p") > 1)
+    pairs = p.select(F.explode(text.bound(F.col("p"), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.concat(F.get(p, i - 1), F.get(p, i))))).alias("pair"))
+    return pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "pair").limit(20)
+
+
 # Fusion --------------------------------------------------------------------------------------------
 
 
@@ -244,6 +277,16 @@ def channel_counts(spark, d):
     return s.groupBy("c.channel", "c.severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c.score"), 4).alias("mean_score"))
 
 
+@query()
+def channel_patterns(spark, d):
+    """Leading channel of the flagged rows: how many rows it leads, and the first of them."""
+    s = materialize(_scored(spark, d).select("row_idx", F.col("verdict.determination").alias("determination"), "channels"), "verdicts")
+    active = F.filter("channels", lambda c: c["level"] > 0)
+    lead = F.array_sort(active, lambda a, b: F.sign(b["level"] - a["level"]).cast("int"))
+    led = s.where(cohort.is_flagged(F.col("determination"))).select("row_idx", F.get(lead, F.lit(0))["channel"].alias("channel")).where("channel is not null")
+    return led.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("first_row"))
+
+
 @query()
 def api_reports(spark, d):
     return pipeline.report(_scored(spark, d)).select("row_idx", "report")
@@ -473,6 +516,29 @@ def batch_metrics(spark, d):
     return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
+@query("""SELECT determination, string_agg(result_id::VARCHAR, ' ' ORDER BY result_id) AS first_three FROM (SELECT *, row_number() OVER (PARTITION BY determination ORDER BY result_id) AS k FROM results) WHERE k <= 3 GROUP BY determination""")
+def first_examples(spark, d):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("determination").orderBy("result_id"))
+    kept = table(spark, d, "results").select("determination", "result_id", k.alias("k")).where("k <= 3")  # a limit per group, pruned before the shuffle
+    return kept.groupBy("determination").agg(F.concat_ws(" ", F.array_sort(F.collect_list("result_id")).cast("array<string>")).alias("first_three"))
+
+
+@query("SELECT row_idx, attempter FROM tasks WHERE contains(lower(attempter), 'kukal')")
+def author_filter(spark, d):
+    return table(spark, d, "tasks").where(F.lower("attempter").contains("kukal")).select("row_idx", "attempter")
+
+
+@query(f"""SELECT batch_id, occupation, count(*) AS n, count(*) FILTER ({_FL}) AS flagged FROM submissions GROUP BY GROUPING SETS ((batch_id, occupation), (batch_id), ())""")
+def flag_cube(spark, d):
+    """Flags per batch and occupation, per batch, and of all, in one pass."""
+    flag = F.sum(cohort.is_flagged(F.col("determination")).cast("int")).cast("bigint")
+    s = table(spark, d, "submissions")
+    cols = [F.col("batch_id"), F.col("occupation")]
+    return s.groupingSets([cols, cols[:1], []], *cols).agg(F.count(F.lit(1)).alias("n"), flag.alias("flagged"))
+
+
 # Sequences and vectors -----------------------------------------------------------------------------
 
 
