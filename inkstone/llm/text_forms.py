@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkstone.session import materialize
+
 # Letters of other alphabets that look like a Latin letter.
 CYRILLIC_AS_LATIN = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j",
@@ -223,10 +225,10 @@ def look_alike_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = (
         rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"))
         .where(F.col("raw").isNotNull())
-        .select("id", F.md5("raw").alias("raw_key"), form("raw").alias("shown"))
-        .where(F.col("shown") != "")
-        .select("id", "raw_key", F.md5("shown").alias("look"))
+        .select("id", F.md5("raw").alias("raw_key"), F.md5(form("raw")).alias("look"))
     )
+    # Written once: a filter on a form, or a second use of it, would compute every form again.
+    keyed = materialize(keyed, "looks").where(F.col("look") != F.md5(F.lit("")))
     mixed = keyed.groupBy("look").agg(F.min("raw_key").alias("lo"), F.max("raw_key").alias("hi")).where("lo != hi").select("look")
     inside = keyed.join(mixed, "look", "left_semi")
     left = inside.select("look", F.col("id").alias("a"), F.col("raw_key").alias("ka"))
