@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,12 @@ SKETCH_THRESHOLD = 0.62
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, s1, s2, wh, sh) to (id, s1, s2, vec): sketches of words and shingles, one byte a dimension."""
+    """(id, s1, s2, wh, sh) to (id, s1, s2, vec): sketches of words and shingles, one byte a dimension.
+
+    Rows without shingles are dropped here: a filter on the shingles before would compute them twice.
+    """
     for batch in batches:
+        batch = batch.filter(pc.greater(pc.list_value_length(batch.column(4)), 0))
         n = batch.num_rows
 
         def of(lists: pa.Array, n: int = n) -> np.ndarray:
@@ -150,13 +155,13 @@ def batch_duplicates(tasks: DataFrame, batches: DataFrame, id_col: str, key: Col
     names = sorted(r[0] for r in named.select("name").distinct().collect())
     numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)] or [("", 0)], "name string, batch int")
     numbered = named.join(F.broadcast(numbers), "name").select(id_col, "batch")
-    worded = tasks.select(F.col(id_col).alias("id"), words.alias("w")).where("w is not null")
+    worded = tasks.select(F.col(id_col).alias("id"), words.alias("w"))
 
     def parts(w: Column) -> Column:
         return F.struct(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x))).alias("wh"), shingles(w, 3).alias("sh"))
 
     def shingled(rows: DataFrame) -> DataFrame:
-        return rows.select("id", F.get(F.transform(F.array("w"), parts), F.lit(0)).alias("p")).select("id", "p.wh", "p.sh").where(F.size("sh") > 0)
+        return rows.select("id", F.get(F.transform(F.array("w"), parts), F.lit(0)).alias("p")).select("id", "p.wh", "p.sh")
 
     # Shingle sets are not kept: only signatures and sketches are, and the sets of candidates are made again.
     hashed = shingled(worded).select(F.col("id").cast("bigint"), *signature(F.col("sh")), "wh", "sh")
