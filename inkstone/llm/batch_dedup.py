@@ -175,7 +175,8 @@ def batch_duplicates(tasks: DataFrame, batches: DataFrame, id_col: str, key: Col
     sketched = signed.join(heads, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("cid"), "vec")
     candidates = materialize(neighbour_candidates(materialize(sketched.join(spans, "cid"), "nodes"), len(names)), "candidates")
     wanted = candidates.select(F.explode(F.array("cid_a", "cid_b")).alias("id")).distinct()
-    sets = shingled(worded.join(wanted, "id", "left_semi")).select("id", *signature(F.col("sh")), "sh").join(heads, ["id", "s1", "s2"], "left_semi")
+    chosen = tasks.join(wanted.withColumnRenamed("id", id_col), id_col, "left_semi").select(F.col(id_col).alias("id"), words.alias("w"))
+    sets = shingled(chosen).select("id", *signature(F.col("sh")), "sh").join(heads, ["id", "s1", "s2"], "left_semi")
     sets = materialize(sets.dropDuplicates(["id"]).select(F.col("id").alias("cid"), F.size("sh").alias("n"), "sh"), "sets")
     pairs = materialize(verify(candidates, sets, threshold).select("cid_a", "cid_b"), "pairs")
     own = spans.where("first < last").select(F.col("cid").alias("c"), F.col("cid").alias("d"))
