@@ -70,6 +70,38 @@ def cross_batch(current: DataFrame, history: DataFrame, key: str, author: str, s
     return both.where(other).withColumn("similarity", agreement(F.col("cur_sig"), F.col("old_sig"))).where(F.col("similarity") >= least).select("cur_key", "old_key", "similarity")
 
 
+def earlier_batches(rows: DataFrame, key: str, author: str, signature: str, batch: str, least: float = 0.5) -> DataFrame:
+    """(cur_key, old_key, similarity): every row with every row of an earlier batch whose signature agrees in enough positions.
+
+    Equal signatures are one class: positions are joined and signatures compared per class, and rows come
+    back only where their batches are in order. Any positions do for the match that the agreement implies,
+    so each class posts its rarest ones, in one order for all. Same named authors are left out.
+    """
+    positions = int(HASHES * (1 - least)) + 1
+    name = F.lower(F.trim(F.coalesce(author, F.lit(""))))
+    signed = rows.select(F.col(key).alias("k"), name.alias("author"), F.col(batch).alias("batch"), F.col(signature).alias("sig")).where("batch is not null")
+    signed = materialize(signed, "signed")
+    classes = materialize(signed.groupBy("sig").agg(F.min("k").alias("cid"), F.min("batch").alias("first"), F.max("batch").alias("last")), "classes")
+    members = materialize(signed.join(classes.select("sig", "cid"), "sig").select("cid", "k", "author", "batch"), "members")
+    values = classes.select("cid", F.posexplode("sig").alias("i", "v")).select("cid", (F.col("v") * HASHES + F.col("i")).alias("h"))
+    shared = values.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = values.join(shared, "h").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
+    # Values of one class only come first in the order and need no posting.
+    reach = F.lit(positions - HASHES) + F.size("o")
+    posted = ordered.withColumn("p", reach).where("p > 0").select("cid", F.explode(F.slice("o", 1, F.col("p"))).alias("o")).select("cid", "o.h")
+    posted = materialize(posted.join(classes.select("cid", "first", "last"), "cid"), "posted")
+    a, b = (posted.select(*[F.col(c).alias(f"{c}_{p}") for c in ("cid", "first", "last")], "h") for p in "ab")
+    met = a.join(b, "h").where("cid_a < cid_b and (first_a < last_b or first_b < last_a)").select("cid_a", "cid_b").distinct()
+    sig = lambda p: classes.select(F.col("cid").alias(f"cid_{p}"), F.col("sig").alias(f"sig_{p}"))
+    close = met.join(sig("a"), "cid_a").join(sig("b"), "cid_b").select("cid_a", "cid_b", agreement(F.col("sig_a"), F.col("sig_b")).alias("similarity")).where(F.col("similarity") >= least)
+    close = materialize(close, "close")
+    own = classes.where("first < last").select(F.col("cid").alias("c"), F.col("cid").alias("d"), F.lit(1.0).alias("similarity"))
+    ways = [close.select(F.col(x).alias("c"), F.col(y).alias("d"), "similarity") for x, y in (("cid_a", "cid_b"), ("cid_b", "cid_a"))]
+    side = lambda c, p: members.select(F.col("cid").alias(c), F.col("k").alias(f"{p}_key"), F.col("author").alias(f"{p}_author"), F.col("batch").alias(f"{p}_batch"))
+    met = own.unionByName(ways[0]).unionByName(ways[1]).join(side("c", "cur"), "c").join(side("d", "old"), "d").where("old_batch < cur_batch")
+    return met.where("cur_author = '' or old_author = '' or cur_author != old_author").select("cur_key", "old_key", "similarity")
+
+
 def structural(a: Column, b: Column) -> Column:
     """1 / (1 + Euclidean distance) of two structural vectors."""
     return 1 / (1 + F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
