@@ -125,11 +125,16 @@ def sampled_baseline(rows: DataFrame, key: str, group: str, measure, columns: li
 
 
 def feedback(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Verdicts raised by similarity: pairs has key_a, key_b, kind ('semantic', 'adaptive' or 'text')."""
+    """Verdicts raised by similarity: pairs has key_a, key_b, kind ('semantic', 'text' or one that ends in 'adaptive')."""
     sides = pairs.select(F.explode(F.array(F.struct(F.col(f"{key}_a").alias("k"), F.col(f"{key}_b").alias("o"), "kind"), F.struct(F.col(f"{key}_b").alias("k"), F.col(f"{key}_a").alias("o"), "kind"))).alias("x")).select("x.*")
     seen = sides.groupBy("k").agg(
-        F.countDistinct("o").alias("partners"), F.max((F.col("kind") == "semantic").cast("int")).alias("semantic"), F.max((F.col("kind") == "adaptive").cast("int")).alias("adaptive")
+        F.countDistinct("o").alias("partners"), F.max((F.col("kind") == "semantic").cast("int")).alias("semantic"), F.max(F.col("kind").endswith("adaptive").cast("int")).alias("adaptive")
     )
+    return raised(rows, seen, key)
+
+
+def raised(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Verdicts raised by (k, partners, semantic, adaptive) of each row that is in some pair."""
     d = F.col("determination")
     up = (
         F.when((F.col("semantic") == 1) & (F.col("partners") >= 2) & d.isin("GREEN", "REVIEW", "YELLOW"), "AMBER")

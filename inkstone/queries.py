@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import lexicon, tables, text
-from inkstone.operators import cohort, continuations, models, residue_python, sequences, signals, similarity
+from inkstone.operators import cohort, continuations, models, pair_analysis, residue_python, sequences, signals, similarity
 from inkstone.plans import pipeline
 from inkstone.session import materialize, spread, table
 
@@ -336,9 +336,13 @@ def cross_batch(spark, d):
 
 @query()
 def similarity_feedback(spark, d):
-    pairs = similarity.jaccard_pairs(_shingled(spark, d), "row_idx", "occupation", "s", 0.60).withColumn("kind", F.lit("adaptive"))
+    """Flags by each occupation's own thresholds; the structural vector is that of the latest fingerprint."""
+    vectors = cohort.latest(table(spark, d, "fingerprints").select("row_idx", "structural_vec", "batch_ts", "fp_id"), "row_idx", ["batch_ts", "fp_id"])
+    rows = _shingled(spark, d).join(vectors.select("row_idx", "structural_vec"), "row_idx", "left")
+    sets = materialize(pair_analysis.prepared(rows, "row_idx", "occupation", "attempter", "s", "structural_vec"), "blocks")
+    seen = pair_analysis.flag_counts(sets, materialize(pair_analysis.baseline(sets), "baseline"))
     last = cohort.latest(table(spark, d, "results").select("row_idx", "determination", "scored_at", "result_id"), "row_idx", ["scored_at", "result_id"])
-    return similarity.feedback(last, pairs, "row_idx")
+    return similarity.raised(last, seen, "row_idx")
 
 
 # Cohorts -------------------------------------------------------------------------------------------
