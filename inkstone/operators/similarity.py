@@ -107,23 +107,6 @@ def structural(a: Column, b: Column) -> Column:
     return 1 / (1 + F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
 
 
-def sampled_baseline(rows: DataFrame, key: str, group: str, measure, columns: list[str], partners: int = 8) -> DataFrame:
-    """Median and spread of a pair measure per group, over pairs of rows near each other in hash order.
-
-    All pairs of a group grow with its square; each row meets ``partners`` pseudo-random others instead.
-    Hash slots bound the rows of one window task. Groups of fewer than three pairs are left out.
-    """
-    from pyspark.sql import Window
-
-    slot = F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(64))
-    ring = Window.partitionBy(group, slot).orderBy(F.xxhash64(F.col(key)), F.col(key))
-    packed = F.struct(F.col(key), *columns)
-    near = rows.select(group, F.col(key), packed.alias("a"), F.array(*[F.lead(packed, k).over(ring) for k in range(1, partners + 1)]).alias("bs"))
-    pairs = near.select(group, "a", F.explode(F.filter("bs", lambda b: b.isNotNull())).alias("b")).select(group, measure(F.col("a"), F.col("b")).alias("m"))
-    stats = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("pairs"), F.median("m").alias("median"), F.stddev_samp("m").alias("spread")).where("pairs >= 3")
-    return stats.withColumn("outlier_above", F.col("median") + 2 * F.greatest("spread", F.lit(0.02)))
-
-
 def feedback(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     """Verdicts raised by similarity: pairs has key_a, key_b, kind ('semantic', 'text' or one that ends in 'adaptive')."""
     sides = pairs.select(F.explode(F.array(F.struct(F.col(f"{key}_a").alias("k"), F.col(f"{key}_b").alias("o"), "kind"), F.struct(F.col(f"{key}_b").alias("k"), F.col(f"{key}_a").alias("o"), "kind"))).alias("x")).select("x.*")

@@ -313,9 +313,10 @@ def similarity_pairs(spark, d):
 
 @query()
 def similarity_baseline(spark, d):
-    rows = _shingled(spark, d).select("row_idx", "occupation", "s")
-    out = similarity.sampled_baseline(rows, "row_idx", "occupation", lambda a, b: text.jaccard(a["s"], b["s"]), ["s"])
-    return out.select("occupation", "pairs", *[F.round(c, 6).alias(c) for c in ("median", "spread", "outlier_above")])
+    """Over all pairs of an occupation."""
+    sets = pair_analysis.prepared(_shingled(spark, d), "row_idx", "occupation", None, "s")
+    out = pair_analysis.baseline(sets).withColumn("outlier_above", F.col("median") + 2 * F.greatest("spread", F.lit(pair_analysis.LEAST_SPREAD)))
+    return out.select(F.col("g").alias("occupation"), "pairs", *[F.round(c, 6).alias(c) for c in ("median", "spread", "outlier_above")])
 
 
 @query(f"""WITH {_SHINGLES}, x AS (SELECT row_idx, unnest(sh) AS g FROM s)

@@ -5,6 +5,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from inkstone import queries
 from inkstone.operators import pair_analysis
 
 
@@ -65,3 +66,9 @@ def test_shared_instructions_are_factored_out(spark):
     df = df.withColumn("s", F.array(F.lit("i")))
     sets = pair_analysis.prepared(df, "k", "g", "author", "s")
     assert pair_analysis.flagged_pairs(sets, pair_analysis.baseline(sets)).count() == 1
+
+
+def test_small_groups_keep_all_their_pairs(spark, tmp_path):
+    rows = [(i, "mark each crate and " + ("weigh it twice" if i < 4 else f"note {i}"), "o", None) for i in range(10)]
+    spark.createDataFrame(rows, "row_idx bigint, prompt string, occupation string, attempter string").write.parquet(str(tmp_path / "tasks.parquet"))
+    assert [(r["occupation"], r["pairs"]) for r in queries.QUERIES["similarity_baseline"](spark, str(tmp_path)).collect()] == [("o", 45)]
