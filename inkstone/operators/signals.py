@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from inkstone.functions import lexicon, regex, tables, text
 from inkstone.functions.regex import count, count_all, has, ladder
 
+# A mark is neither a word character nor a space.
+MARK = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
+
 
 def _per100(t: Column) -> Column:
     return F.greatest(text.word_count(t) / 100, F.lit(1.0))
@@ -231,6 +234,46 @@ def stylometry(t: Column) -> Column:
     return text.bound(raw, of)
 
 
+def top_shares(items: Column, most: int, relative: bool) -> Column:
+    """The ``most`` frequent items of an array as (item, n or share of all items), ties by first occurrence."""
+
+    def of(xs: Column) -> Column:
+        # Sorted by item, equal ones are neighbours: one pass counts them and keeps the first place of each.
+        placed = F.array_sort(F.transform(xs, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+
+        def counted(p: Column) -> Column:
+            heads = F.filter(F.transform(p, lambda e, k: F.struct(e["x"].alias("x"), e["i"].alias("i"), k.alias("k"), ((k == 0) | (F.get(p, k - 1)["x"] != e["x"])).alias("head"))), lambda e: e["head"])
+            ends = lambda h, j: F.coalesce(F.get(h, j + 1)["k"], F.size(p))
+            runs = text.bound(heads, lambda h: F.transform(h, lambda e, j: F.struct((e["k"] - ends(h, j)).alias("less"), e["i"].alias("i"), e["x"].alias("x"))))
+            best = F.slice(F.array_sort(runs), 1, most)
+            value = (lambda e: -e["less"] / F.size(p)) if relative else (lambda e: (-e["less"]).cast("bigint"))
+            return F.transform(best, lambda e: F.struct(e["x"].alias("item"), value(e).alias("n")))
+
+        return text.bound(placed, counted)
+
+    return text.bound(items, of)
+
+
+def char_profile(t: Column, most: int = 50) -> Column:
+    """Most frequent runs of four characters of the masked text with their relative frequency; none that begin with '_'."""
+
+    def grams(m: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.length(m) - 3), lambda i: F.substring(m, i, F.lit(4)))
+        return F.filter(F.when(F.length(m) > 3, runs).otherwise(F.array().cast("array<string>")), lambda g: ~g.startswith("_"))
+
+    return top_shares(text.bound(F.lower(text.mask_topics(t)[0]), grams), most, True)
+
+
+def punctuation_profile(t: Column, most: int = 20) -> Column:
+    """Most frequent pairs of successive marks, neither word characters nor spaces, whatever stands between."""
+
+    def pairs(p: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.concat(F.get(p, i - 1), F.get(p, i)))
+        return F.when(F.size(p) > 1, runs).otherwise(F.array().cast("array<string>"))
+
+    return top_shares(text.bound(F.regexp_extract_all(t, F.lit(MARK), F.lit(0)), pairs), most, False)
+
+
 def windows(t: Column, size: int = 5, stride: int = 2) -> Column:
     """Scores of overlapping sentence windows and what they add up to (without compression)."""
     formulaic = [p for _, p in tables.FORMULAIC]

@@ -203,6 +203,18 @@ def char_4grams(spark, d):
     return g.where(~F.startswith("gram", F.lit("_"))).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "gram").limit(50)
 
 
+@query()
+def char_profiles(spark, d):
+    """Each text's fifty most frequent runs of four characters, masked, with their relative frequency."""
+    return spread(_texts(spark, d)).select("row_idx", signals.char_profile(F.col("t")).alias("profile"))
+
+
+@query()
+def punctuation_profiles(spark, d):
+    """Each text's twenty most frequent pairs of successive marks of any script."""
+    return spread(_texts(spark, d)).select("row_idx", signals.punctuation_profile(F.col("t")).alias("profile"))
+
+
 @query()
 def continuation_local(spark, d):
     return spread(_texts(spark, d)).select("row_idx", residue_python.continuation(F.col("t")).alias("c")).select("row_idx", "c.*")
