@@ -10,7 +10,8 @@ The tables go to every task, so their size is checked: test items are searched i
 is cut.
 
 Case, punctuation, spacing, layout and markup are dropped from both sides. Defined results: null texts
-and items of fewer than ``run`` words are in no pair; repeated rows give one pair per id.
+and items of fewer than ``run`` words are in no pair; repeated rows give one pair per id; two texts under
+one item id are both searched.
 """
 
 from __future__ import annotations
@@ -54,10 +55,10 @@ class WuManber:
 
     def __init__(self, items: list[tuple[int, list[str]]], run: int):
         self.run = run
-        self.items = {i: words for i, words in items}
+        self.items = items
         self.shift: dict[tuple[str, ...], int] = {}
         self.bucket: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-        for i, words in items:
+        for at, (_, words) in enumerate(items):
             for start in range(len(words) - run + 1):
                 for end in range(BLOCK, run + 1):
                     block = tuple(words[start + end - BLOCK : start + end])
@@ -65,7 +66,7 @@ class WuManber:
                     if left < self.shift.get(block, run):
                         self.shift[block] = left
                 suffix = tuple(words[start + run - BLOCK : start + run])
-                self.bucket.setdefault(suffix, []).append((i, start))
+                self.bucket.setdefault(suffix, []).append((at, start))
         self.jump = run - BLOCK + 1
 
     def search(self, words: list[str]) -> set[int]:
@@ -77,8 +78,9 @@ class WuManber:
             step = shift.get(block, jump)
             if step == 0:
                 window = words[at - run : at]
-                for item, start in self.bucket[block]:
-                    if item not in found and self.items[item][start : start + run] == window:
+                for k, start in self.bucket[block]:
+                    item, text = self.items[k]
+                    if item not in found and text[start : start + run] == window:
                         found.add(item)
                 step = 1
             at += step
