@@ -169,6 +169,17 @@ _REASON = re.compile("(?:" + REASONS.replace("\n", "") + r")\b", re.IGNORECASE)
 _SPLIT_FIELD = re.compile(r"[^\W_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
+_BEFORE, _AFTER = "\"'“‘«(:,;–—-/", "\"'”’».,;:!?)–—-/"
+_SNAKE = re.compile(r"[^\W\d_]+(?:_[^\W_]+)+")
+_CAMEL_NAME = re.compile(r"[a-z]+(?:[A-Z][a-z]+)+")
+_CAPITALS = re.compile(r"[A-Z][A-Za-z]+(?: (?:of|and|the|de|du|des|der) (?=[A-Z]))?(?: [A-Z][A-Za-z]*)+")
+_ONE_CAPITAL = re.compile(r"[A-Z]{3,}")
+_LAST_WORD = re.compile(r"([^\W\d_]+|:)\s*[\"'“‘«(]?$")
+# Function words and openings after which a value is due.
+_ASKING = frozenset("""the a an to for from of by at on in with and or dear hello hi is are was as per via before after until between than der die das dem den
+ein eine einen an für von mit bei bis und ist le la les un une du de des à au aux pour par avec et el los las del al en para por con y il lo gli di
+da per e o os as do com em het een van voor met naar""".split())
+
 
 def _is_field(slot: str) -> bool:
     words = [w.lower() for w in _SPLIT_FIELD.findall(_CAMEL.sub(" ", slot))]
@@ -177,6 +188,25 @@ def _is_field(slot: str) -> bool:
     return bool(words) and all(w in _FIELDS for w in words) and (len(words) > 1 or words[0] not in ("in", "no", "id", "il", "su", "here", "end", "day", "i"))
 
 
+def _stands_for_value(text: str, start: int, end: int) -> bool:
+    """Whether a bracketed slot, whatever its words, has the form of a field name and stands where a value belongs.
+
+    Snake case, camel case and several capitalised words are names by form; one word in capitals also needs a word
+    before it that asks for a value. Cells between bars, shell variables and elements that are closed are none.
+    """
+    slot = text[start:end]
+    if slot[0] in "|(" or slot[0] == "$" != slot[-1] or slot.startswith(("</", "<b>")) or (slot[0] == "<" and f"</{slot[1:]}" in text):
+        return False
+    if (start and not (text[start - 1].isspace() or text[start - 1] in _BEFORE)) or (end < len(text) and not (text[end].isspace() or text[end] in _AFTER)):
+        return False
+    name = slot[2:-2] if slot.startswith("__") else slot[1:-1]
+    name = name.strip(" .")
+    if _SNAKE.fullmatch(name) or _CAMEL_NAME.fullmatch(name) or _CAPITALS.fullmatch(name):
+        return True
+    before = _LAST_WORD.search(text[max(0, start - 40) : start])
+    return bool(_ONE_CAPITAL.fullmatch(name)) and bool(before) and (before[1] == ":" or before[1].lower() in _ASKING)
+
+
 def tokens(text: str) -> list[str]:
     """Words in lower case, HTTP statuses as <n>, their phrases as <reason>, unfilled slots as <slot>."""
     out: list[str] = []
@@ -202,15 +232,10 @@ def tokens(text: str) -> list[str]:
 
     for m in _SLOT.finditer(text):
         kind, slot = m.lastgroup, m.group()
-        if kind == "field" and (slot.lower().strip("</>") in _ELEMENTS or not _is_field(slot)):
+        if kind == "field" and (slot.lower().strip("</>") in _ELEMENTS or not (_is_field(slot) or _stands_for_value(text, m.start(), m.end()))):
             continue
         words(text[at : m.start()])
-        if kind == "open" and "timeout" in slot:
-            out.append("${timeout}")
-        elif kind == "open" and slot.lower() == "{{first_name}}":
-            out += ["{{first_name}}", "<slot>"]
-        else:
-            out.append("<slot>")
+        out.append("<slot>")
         at = m.end()
     words(text[at:])
     return out
