@@ -81,22 +81,12 @@ def _single_character_map() -> dict[int, str | None]:
 
 
 _MAP = _single_character_map()
+_MAPPED = frozenset(map(chr, _MAP))
 _BREAKS = re.compile(LINE_BREAKS)
+_BREAK_CHARACTERS = frozenset("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
 
 
-def _class_of(points) -> str:
-    """A regex class of code points, written as ranges."""
-    spans, points = [], sorted(points)
-    for o in points:
-        if spans and spans[-1][1] == o - 1:
-            spans[-1][1] = o
-        else:
-            spans.append([o, o])
-    return "[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in spans) + "]"
-
-
-_MAPPED = re.compile(_class_of(_MAP))
-_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u052f" + "".join(OTHER_AS_LATIN) + "]")
+_FOREIGN = frozenset(map(chr, [*range(0x370, 0x400), *range(0x400, 0x530)])) | frozenset(OTHER_AS_LATIN)
 _WORD = re.compile("[\\w\u0300-\u036f]+")
 _LATIN_LETTER = re.compile("[A-Za-z\u00c0-\u024f]")
 _TRAILING = re.compile(" +(?=\n)")
@@ -148,7 +138,7 @@ def _one_script(text: str) -> str:
 
         def word(m: re.Match) -> str:
             w = m.group()
-            if ground is _TO_LATIN and not _FOREIGN.search(w):
+            if ground is _TO_LATIN and _FOREIGN.isdisjoint(w):
                 return w
             a, b, c = _decisive(w)
             if not (a or b or c):
@@ -164,15 +154,17 @@ def consistent_form(text: str | None) -> str | None:
     """The one form of a text that a reader cannot tell apart from it."""
     if text is None:
         return None
-    if _BREAKS.search(text):
+    # Each step is taken only where the text has a character it changes; most texts have none.
+    held = set(text)
+    if not _BREAK_CHARACTERS.isdisjoint(held):
         text = _BREAKS.sub("\n", text)
-    if _MAPPED.search(text):
+    if not _MAPPED.isdisjoint(held):
         text = text.translate(_MAP)
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-        if _FOREIGN.search(text):
+        if not _FOREIGN.isdisjoint(text):
             text = _one_script(text)
-    return _TRAILING.sub("", text).strip(" \n") if text else text
+    return (_TRAILING.sub("", text) if " \n" in text else text).strip(" \n")
 
 
 def _per_distinct(values: pa.Array, fn) -> pa.Array:
