@@ -314,8 +314,8 @@ _BRACKETED = {
     "hash": r"#[a-z][\w ]{0,30}#", "percent": r"%[a-z][\w ]{0,30}%", "at": r"@[a-z][\w ]{0,30}@", "bar": r"\|[a-z][\w ]{0,30}\|", "dollars": r"\$[a-z][\w ]{0,30}\$", "shell": r"\$[a-z]\w{2,30}\b", "dunder": r"(?<!\w)__[a-z][\w ]{0,30}?__\b",
 }
 _PROGRAM = {
-    "exc": r"\b[A-Z][A-Za-z.]*(?:Error|Exception)\b(?=: \S)|\b(?:[a-z]+\.)+[A-Z]\w*(?:Error|Exception)\b",
-    "frame": r"at [\w$<>]+\.[\w.$<>]+\([^()\n]{0,60}\)", "file": r"File \"[^\"\n]{1,80}\", line \d+", "path": r"(?<!\w)(?:/[\w.-]+){2,}(?::\d+)?|\b[A-Z]:\\[\w.\\-]+", "oracode": r"\b(?:ORA|SQL|DB2)-\d{4,5}\b",
+    "exc": r"\b[A-Z][A-Za-z.]*(?:Error|Exception)\b(?=: \S)|\b(?:[a-z]+\.)+[A-Z]\w*(?:Error|Exception)\b|\b(?:[A-Z]+\.)+[A-Z]+(?:ERROR|EXCEPTION)\b",
+    "frame": r"(?:at|AT) [\w$<>]+\.[\w.$<>]+\([^()\n]{0,60}\)", "file": r"File \"[^\"\n]{1,80}\", line \d+", "path": r"(?<!\w)(?:/[\w.-]+){2,}(?::\d+)?|\b[A-Z]:\\[\w.\\-]+", "oracode": r"\b(?:ORA|SQL|DB2)-\d{4,5}\b",
 }
 _OUTPUTS = {"exc": "<exception:>", "frame": "<frame>", "file": "<frame>", "path": "<path>", "oracode": "<oracode>"}
 _CASE_SENSITIVE = ("unset", "xs", "exc", "frame", "file", "path", "oracode")
@@ -327,7 +327,7 @@ _BY_FIRST = {
 }
 _FIRST = re.compile(r"[{$<*@~\[(#%|?_]")
 #: What else is searched for, and without which strings in the text it need not be.
-_ELSEWHERE = (("xs", ("XX", "xxxx")), ("todo", ("todo: ", "TODO: ", "Todo: ")), ("unset", ("undefined", "NaN", "null,")), ("exc", ("Error", "Exception")), ("frame", ("at ",)), ("file", ('File "',)), ("path", ("/", "\\")), ("oracode", ("ORA-", "SQL", "DB2-")))
+_ELSEWHERE = (("xs", ("XX", "xxxx")), ("todo", ("todo: ", "TODO: ", "Todo: ")), ("unset", ("undefined", "NaN", "null,")), ("exc", ("Error", "Exception", "ERROR", "EXCEPTION")), ("frame", ("at ", "AT ")), ("file", ('File "',)), ("path", ("/", "\\")), ("oracode", ("ORA-", "SQL", "DB2-")))
 
 
 def _specials(text: str) -> list[tuple[int, int, str]]:
