@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.llm.shingling import SHINGLED, shingled_batches
 from inkstone.session import materialize
 
 
@@ -47,15 +48,17 @@ def at_least(shared: Column, size_a: Column, size_b: Column, threshold: float) -
 
 
 def shingle_classes(rows: DataFrame, id_col: str, words_col: str, block_col: str | None, width: int) -> tuple[DataFrame, DataFrame]:
-    """(members: id, cid), (classes: cid, n, sh): classes are the distinct shingle sets within a block."""
-    block = F.coalesce(F.col(block_col).cast("string"), F.lit("\0null")) if block_col else None
-    shingled = rows.select(F.col(id_col).alias("id"), shingles(F.col(words_col), width, block).alias("sh"))
-    # Filtered after it is written: a filter on the shingles before would compute them twice.
-    shingled = materialize(shingled.select("id", *signature(F.col("sh")), "sh"), "shingled").where(F.size("sh") > 0)
+    """(members: id, cid), (classes: cid, n, sh): classes are the distinct shingle sets within a block.
+
+    ``words_col`` holds arrays of words, or texts, which are brought to their consistent form.
+    """
+    seed = F.xxhash64(F.coalesce(F.col(block_col).cast("string"), F.lit("\0null"))) if block_col else F.lit(0).cast("bigint")
+    given = rows.select(F.col(id_col).cast("bigint").alias("id"), seed.alias("seed"), F.col(words_col).alias("w"))
+    shingled = materialize(given.where("id is not null and w is not null").mapInArrow(shingled_batches(width), SHINGLED), "shingled")
     members, heads = signed_members(shingled.select("id", "s1", "s2"))
     same = (F.col("r.id") == F.col("h.id")) & (F.col("r.s1") == F.col("h.s1")) & (F.col("r.s2") == F.col("h.s2"))
     classes = shingled.alias("r").join(heads.alias("h"), same, "left_semi").dropDuplicates(["id"])
-    return members, classes.select(F.col("id").alias("cid"), F.size("sh").alias("n"), "sh")
+    return members, classes.select(F.col("id").alias("cid"), "n", "sh")
 
 
 def signature(shingle_set: Column) -> list[Column]:

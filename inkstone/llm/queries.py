@@ -79,18 +79,23 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
 # Problems 3 and 5 ----------------------------------------------------------------------------------
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _p3_rows(spark: SparkSession, d: str) -> DataFrame:
     tasks = table(spark, d, "tasks").where("prompt is not null")
-    rows = tasks.select("row_idx", text_forms.form("prompt").alias("f"), text_forms.occupation_key(F.col("occupation")).alias("occ"))
-    worded = rows.select("row_idx", "occ", text_forms.words(F.col("f")).alias("w"))
-    return near_duplicates.near_duplicate_pairs(worded, "row_idx", "w", "occ", width=3, threshold=0.5)
+    return spread(tasks.select("row_idx", "prompt", text_forms.occupation_key(F.col("occupation")).alias("occ")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_pairs(_p3_rows(spark, d), "row_idx", "prompt", "occ", width=3, threshold=0.5)
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    tasks = table(spark, d, "tasks")
-    rows = tasks.select("row_idx", text_forms.form("prompt").alias("f"), text_forms.occupation_key(F.col("occupation")).alias("occ"))
-    worded = rows.select("row_idx", "occ", text_forms.words(F.col("f")).alias("w"))
-    return near_duplicates.near_duplicate_classes(worded, "row_idx", "w", "occ", width=5, threshold=0.8)
+    """Each row's class of equal shingle sets and the number of classes that p3_found links it with."""
+    return near_duplicates.near_duplicate_classes(_p3_rows(spark, d), "row_idx", "prompt", "occ", width=3, threshold=0.5)
+
+
+def p3_shared_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The classes at the stricter default of five words and 0.8."""
+    return near_duplicates.near_duplicate_classes(_p3_rows(spark, d), "row_idx", "prompt", "occ")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
