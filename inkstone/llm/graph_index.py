@@ -1,7 +1,9 @@
 """Navigable small-world graphs over sketches, searched for many queries at once (used by problem 6).
 
 One graph holds a bounded number of nodes and is built and searched inside one task with array
-operations: every step of a search expands the best open nodes of all queries together.
+operations: every step of a search expands the best open nodes of all queries together. Searches enter the
+graph at the nodes that share one of a query's first ``ENTRY`` least hashes, where there are such, and at
+pivots spread over the graph; from there they follow the links.
 """
 
 from __future__ import annotations
@@ -10,26 +12,31 @@ import io
 
 import numpy as np
 
-FORWARD = 8
-DEGREE = 24
-BEAMS = (16, 32, 64, 128, 256, 512, 1024)
-CALIBRATION = 256
-RECALL = 0.98
-#: What the sample queries lie above the threshold: there some 1 % of measured duplicates lie lower.
+FORWARD = 6
+DEGREE = 14
+BEAMS = (8, 12, 16, 24, 32, 64, 128, 256, 512, 1024)
+BUILD_BEAM = 12
+CALIBRATION = 512
+RECALL = 0.99
+#: What sample queries without hashes lie above the threshold.
 NEAR = 0.12
-QUERY_BLOCK = 256
+QUERY_BLOCK = 512
 STEP = 4
-PIVOTS = 8
+PIVOTS = 2
+#: Hashes by which searches enter; nodes looked at per hash; the other hashes are kept to estimate similarity.
+ENTRY = 8
+PER_HASH = 3
 
 
 class Graph:
-    """Unit vectors, their links, and a beam width tuned against exhaustive search."""
+    """Unit vectors, their hashes and links, and a beam width tuned against exhaustive search."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, links: np.ndarray, pivots: np.ndarray, beam: int):
-        self.ids, self.vectors, self.links, self.pivots, self.beam = ids, vectors, links, pivots, beam
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, links: np.ndarray, pivots: np.ndarray, beam: int, hashes: np.ndarray):
+        self.ids, self.vectors, self.links, self.pivots, self.beam, self.hashes = ids, vectors, links, pivots, beam, hashes
+        self._order: list[tuple[np.ndarray, np.ndarray]] | None = None
 
     @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray, threshold: float, seed: int = 5) -> Graph:
+    def build(cls, ids: np.ndarray, vectors: np.ndarray, threshold: float, seed: int = 5, hashes: np.ndarray | None = None) -> Graph:
         """Insert the nodes in random order; each links to its nearest found nodes, and they back to it.
 
         A node's first links are never dropped: those of early nodes span the graph. Two more links, first
@@ -39,22 +46,23 @@ class Graph:
         n = len(ids)
         rng = np.random.default_rng(seed)
         order = rng.permutation(n)
+        hashes = np.zeros((n, 0), np.uint32) if hashes is None else hashes[order]
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order], dtype=np.float32)
         links = np.full((n, DEGREE + 2), -1, dtype=np.int32)
-        graph = cls(ids, vectors, links, np.arange(min(n, PIVOTS * int(n**0.5) + 16)), BEAMS[0])
+        graph = cls(ids, vectors, links, np.arange(min(n, PIVOTS * int(n**0.5) + 16)), BEAMS[0], hashes)
         done = 0
         while done < n:
             size = min(n - done, max(256, min(done, 2048)))
             fresh = np.arange(done, done + size)
             inside = vectors[fresh] @ vectors[fresh].T
-            np.fill_diagonal(inside, -2)
             # A node links only to earlier ones of its chunk, as if inserted one by one.
             inside[np.triu_indices(size)] = -2
             near = np.argpartition(-inside, min(FORWARD, size - 1), axis=1)[:, :FORWARD]
             sims, found = np.take_along_axis(inside, near, 1), fresh[near]
             if done:
                 graph.pivots = np.arange(min(done, PIVOTS * int(done**0.5) + 16))
-                old, old_sims = graph._beam_search(vectors[fresh], 2 * BEAMS[0], done)
+                graph._order = None
+                old, old_sims = graph._beam_search(vectors[fresh], BUILD_BEAM, done, hashes[fresh])
                 found, sims = np.hstack([old, found]), np.hstack([old_sims, sims])
             top = np.argsort(-sims, axis=1, kind="stable")[:, :FORWARD]
             found, sims = np.take_along_axis(found, top, 1), np.take_along_axis(sims, top, 1)
@@ -67,6 +75,7 @@ class Graph:
             graph._link_back(fresh, found, sims)
             done += size
         graph.pivots = np.arange(min(n, PIVOTS * int(n**0.5) + 16))
+        graph._order = None
         graph._tune(threshold, rng)
         return graph
 
@@ -92,23 +101,53 @@ class Graph:
         self.links[touched, FORWARD:DEGREE] = -1
         self.links[t[keep], FORWARD + rank[keep]] = s[keep]
 
-    def _beam_search(self, queries: np.ndarray, beam: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _entries(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node): up to ``PER_HASH`` nodes below ``n`` that share one of a query's first hashes."""
+        count = min(ENTRY, hashes.shape[1], self.hashes.shape[1])
+        if self._order is None or len(self._order) < count or (count and len(self._order[0][0]) != n):
+            self._order = []
+            for k in range(count):
+                order = np.argsort(self.hashes[:n, k], kind="stable")
+                self._order.append((self.hashes[order, k], order))
+        rows, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(count):
+            values, order = self._order[k]
+            lo, hi = np.searchsorted(values, hashes[:, k], "left"), np.searchsorted(values, hashes[:, k], "right")
+            for j in range(PER_HASH):
+                # Of a long run, nodes spread over it: they are entries only, the links lead to the others.
+                there = np.flatnonzero(hi - lo > j)
+                size = (hi - lo)[there]
+                rows.append(there)
+                nodes.append(order[lo[there] + (j * np.maximum(size, PER_HASH)) // PER_HASH if PER_HASH > 1 else lo[there]])
+        return np.concatenate(rows), np.concatenate(nodes)
+
+    def _beam_search(self, queries: np.ndarray, beam: int, limit: int | None = None, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of the best ``beam`` nodes found for each query, -1 where there are fewer."""
         n = limit or len(self.ids)
         beam = min(beam, n)
         nodes, sims = np.full((len(queries), beam), -1, dtype=np.int64), np.full((len(queries), beam), -2, dtype=np.float32)
         for at in range(0, len(queries), QUERY_BLOCK):
             part = slice(at, at + QUERY_BLOCK)
-            nodes[part], sims[part] = self._block(queries[part], beam, n)
+            nodes[part], sims[part] = self._block(queries[part], beam, n, None if hashes is None else hashes[part])
         return nodes, sims
 
-    def _block(self, queries: np.ndarray, beam: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def _block(self, queries: np.ndarray, beam: int, n: int, hashes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         q = len(queries)
         entry = queries @ self.vectors[self.pivots].T
         take = min(beam, len(self.pivots))
         first = np.argpartition(-entry, take - 1, axis=1)[:, :take]
         nodes, sims = np.full((q, beam), -1, dtype=np.int64), np.full((q, beam), -2, dtype=np.float32)
         nodes[:, :take], sims[:, :take] = self.pivots[first], np.take_along_axis(entry, first, 1)
+        seen = np.zeros((q, n), dtype=bool)
+        seen[:, self.pivots] = True
+        if hashes is not None and hashes.shape[1]:
+            row, cand = self._entries(hashes, n)
+            fresh = ~seen[row, cand]
+            key = np.unique(row[fresh] * np.int64(n) + cand[fresh])
+            row, cand = key // n, key % n
+            if len(row):
+                seen[row, cand] = True
+                nodes, sims, _ = self._merge(np.arange(q), nodes, sims, np.zeros((q, beam), bool), row, cand, np.einsum("ij,ij->i", self.vectors[cand], queries[row]), beam)
         opened = np.zeros((q, beam), dtype=bool)
         seen = np.zeros((q, n), dtype=bool)
         seen[:, self.pivots] = True
@@ -142,69 +181,88 @@ class Graph:
             row, cand, sim = row[better], cand[better], sim[better]
             if not len(row):
                 continue
-            counts = np.bincount(row, minlength=len(active))
-            starts = np.cumsum(counts) - counts
-            width = counts.max()
-            place = np.arange(len(row)) - starts[row]
-            more, more_sims = np.full((len(active), width), -1, dtype=np.int64), np.full((len(active), width), -2, dtype=np.float32)
-            more[row, place], more_sims[row, place] = cand, sim
-            all_nodes, all_sims = np.hstack([nodes[active], more]), np.hstack([sims[active], more_sims])
-            all_open = np.hstack([opened[active], np.zeros_like(more, dtype=bool)])
-            keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            nodes[active] = np.take_along_axis(all_nodes, keep, 1)
-            sims[active] = np.take_along_axis(all_sims, keep, 1)
-            opened[active] = np.take_along_axis(all_open, keep, 1)
+            nodes[active], sims[active], opened[active] = self._merge(active, nodes, sims, opened, row, cand, sim, beam)
         return nodes, sims
 
+    @staticmethod
+    def _merge(active, nodes, sims, opened, row, cand, sim, beam) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Beams of the active queries with candidates (row among the active ones, node, similarity) taken in."""
+        counts = np.bincount(row, minlength=len(active))
+        place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+        more, more_sims = np.full((len(active), counts.max()), -1, dtype=np.int64), np.full((len(active), counts.max()), -2, dtype=np.float32)
+        more[row, place], more_sims[row, place] = cand, sim
+        all_nodes, all_sims = np.hstack([nodes[active], more]), np.hstack([sims[active], more_sims])
+        all_open = np.hstack([opened[active], np.zeros_like(more, dtype=bool)])
+        keep = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+        return np.take_along_axis(all_nodes, keep, 1), np.take_along_axis(all_sims, keep, 1), np.take_along_axis(all_open, keep, 1)
+
     def _tune(self, threshold: float, rng: np.random.Generator) -> None:
-        """Narrowest beam whose hits above the threshold reach the recall of exhaustive search.
+        """Narrowest beam whose hits reach the recall of exhaustive search.
 
-        The sample queries are nodes mixed with other nodes until they lie just above the threshold.
+        Sample queries are nodes of the graph. What must be found are the nodes above the threshold that the hashes
+        no search enters by hold to be alike in at least half of what they have, nearest to the threshold first in
+        doubt; a graph without hashes takes nodes mixed with others until they lie just above the threshold.
         """
         n = len(self.ids)
-        picked = self.vectors[rng.integers(0, n, min(CALIBRATION, n))]
-        noise = self.vectors[rng.integers(0, n, len(picked))] + rng.standard_normal(picked.shape).astype(np.float32) * 0.02
-        noise -= (noise * picked).sum(1, keepdims=True) * picked
-        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-        near = min(1.0, threshold + NEAR)
-        queries = near * picked + (1 - near**2) ** 0.5 * noise
-        exact = queries @ self.vectors.T >= threshold
+        picked = rng.integers(0, n, min(CALIBRATION, n))
+        if self.hashes.shape[1] > ENTRY:
+            queries, hashes = self.vectors[picked], self.hashes[picked]
+            exact = queries @ self.vectors.T >= threshold
+            row, col = np.nonzero(exact)
+            alike = (self.hashes[col, ENTRY:] == hashes[row, ENTRY:]).mean(1) >= 0.5
+            wanted = (row[alike] * np.int64(n) + col[alike])[picked[row[alike]] != col[alike]]
+            # The node itself is found at once, so it does not count.
+        else:
+            base = self.vectors[picked]
+            noise = self.vectors[rng.integers(0, n, len(base))] + rng.standard_normal(base.shape).astype(np.float32) * 0.02
+            noise -= (noise * base).sum(1, keepdims=True) * base
+            noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+            near = min(1.0, threshold + NEAR)
+            queries, hashes = near * base + (1 - near**2) ** 0.5 * noise, None
+            row, col = np.nonzero(queries @ self.vectors.T >= threshold)
+            wanted = row * np.int64(n) + col
         for self.beam in BEAMS:
-            nodes, sims = self._beam_search(queries, self.beam)
-            hits = ((sims >= threshold) & (nodes >= 0)).sum()
-            full = (sims >= threshold).all(1)
-            if hits + exact[full].sum() - (sims[full] >= threshold).sum() >= RECALL * exact.sum():
-                break
+            row, col = self._hits(queries, threshold, hashes)
+            if np.isin(wanted, row * np.int64(n) + col).sum() >= RECALL * len(wanted) or self.beam >= n:
+                return
+        # No width reaches it: searches of this graph look at every node.
+        self.beam = n
 
-    def search(self, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, id) of every node found at or above the threshold.
-
-        A beam whose worst node still reaches the threshold may have left others out, so it is doubled
-        until it does not: neighbours are never capped.
-        """
-        out_q, out_i = [], []
+    def _hits(self, queries: np.ndarray, threshold: float, hashes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, node) of every node found at or above the threshold."""
+        out_q, out_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         open_queries, beam = np.arange(len(queries)), self.beam
         while len(open_queries):
-            nodes, sims = self._beam_search(queries[open_queries], beam)
+            nodes, sims = self._beam_search(queries[open_queries], beam, None, None if hashes is None else hashes[open_queries])
             hit = sims >= threshold
             full = hit.all(1) & (beam < len(self.ids))
             row, col = np.nonzero(hit & ~full[:, None])
             out_q.append(open_queries[row])
-            out_i.append(self.ids[nodes[row, col]])
+            out_x.append(nodes[row, col])
             open_queries, beam = open_queries[full], 2 * beam
-        if not out_q:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(out_q), np.concatenate(out_i)
+        return np.concatenate(out_q), np.concatenate(out_x)
+
+    def search(self, queries: np.ndarray, threshold: float, hashes: np.ndarray | None = None, agree: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, id) of every node found at or above the threshold that shares at least ``agree`` hashes.
+
+        A beam whose worst node still reaches the threshold may have left others out, so it is doubled
+        until it does not: neighbours are never capped.
+        """
+        row, node = self._hits(queries, threshold, hashes)
+        if agree and hashes is not None:
+            alike = (self.hashes[node] == hashes[row]).sum(1) >= agree
+            row, node = row[alike], node[alike]
+        return row, self.ids[node]
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, vectors=np.round(self.vectors * 127).astype(np.int8), links=self.links, pivots=self.pivots, beam=np.array(self.beam))
+        np.savez(out, ids=self.ids, vectors=np.round(self.vectors * 127).astype(np.int8), links=self.links, pivots=self.pivots, beam=np.array(self.beam), hashes=self.hashes)
         return out.getvalue()
 
     @classmethod
     def loads(cls, data: bytes) -> Graph:
         x = np.load(io.BytesIO(data))
-        return cls(x["ids"], x["vectors"].astype(np.float32) / 127, x["links"], x["pivots"], int(x["beam"]))
+        return cls(x["ids"], x["vectors"].astype(np.float32) / 127, x["links"], x["pivots"], int(x["beam"]), x["hashes"])
 
 
 def sketch(hashes: np.ndarray, owner: np.ndarray, rows: int, width: int) -> np.ndarray:

@@ -146,8 +146,7 @@ FROM n WHERE at_or_above * 100 >= target_pct * n GROUP BY ALL
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     tasks = table(spark, d, "tasks").select("row_idx", "task_id", "prompt")
     batches = table(spark, d, "fingerprints").select("row_idx", "batch_id")
-    words = text_forms.words(text_forms.form("prompt"))
-    return batch_dedup.batch_duplicates(tasks, batches, "row_idx", text_forms.task_key(F.col("task_id")), words, "batch_id")
+    return batch_dedup.batch_duplicates(tasks, batches, "row_idx", text_forms.task_key(F.col("task_id")), F.col("prompt"), "batch_id")
 
 
 # Problem 7 -----------------------------------------------------------------------------------------

@@ -23,7 +23,7 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 PIECE = 2048
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
     KEPT = 500_000
 
     def __missing__(self, word: str) -> int:
@@ -105,7 +105,8 @@ def signatures(sizes: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def minhashes(sizes: np.ndarray, sets: np.ndarray, count: int) -> np.ndarray:
     """Least value of each row's set under ``count`` hash functions, 32 bits each; 0 for empty sets."""
     h = sets.view(np.uint64)
-    columns = [per_row((mixed(h + np.uint64(k + 1) * _ODD[2]) >> np.uint64(32)).astype(np.uint32), sizes, np.minimum) for k in range(count)]
+    salts = np.arange(1, count + 1, dtype=np.uint64) * _ODD[2]
+    columns = [per_row((mixed(h + salts[k]) >> np.uint64(32)).astype(np.uint32), sizes, np.minimum) for k in range(count)]
     return np.stack(columns, axis=1) if columns else np.zeros((len(sizes), 0), np.uint32)
 
 
@@ -123,11 +124,11 @@ def shingled_batches(width: int):
     """For mapInArrow: (id, seed, words or text) to (id, s1, s2, n, sh) of the rows that have shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
+        known = WordHashes()
         for batch in pieces(batches):
             words, hashes = word_hashes(batch.column(2), known)
             seeds = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            sizes, sets = distinct(*runs(words, hashes, width, seeds), batch.num_rows)
+            sizes, sets = distinct(*runs(words, hashes, width, seeds if seeds.any() else None), batch.num_rows)
             s1, s2 = signatures(sizes, sets)
             kept = sizes > 0
             mask = pa.array(kept)
