@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.text_forms import consistent_form
+from inkstone.llm.text_forms import consistent_form, word_list
 
 BLOCK = 2
 BLOCK_WORDS = 2_000_000
 
-_WORD = re.compile(r"[^\W_]+")
 # Names of HTML elements that are markup, not words, when they stand in angle brackets.
 _TAG = re.compile(
     r"</?(?:a|abbr|article|b|blockquote|body|br|center|code|dd|div|dl|dt|em|figure|font|footer|h[1-6]|head|header|hr|html|i|img|li|link|main"
@@ -47,7 +46,7 @@ def plain_words(text: str | None) -> list[str]:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    return _WORD.findall(text.casefold())
+    return word_list(text.casefold())
 
 
 class WuManber:

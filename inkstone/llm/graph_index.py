@@ -24,8 +24,10 @@ QUERY_BLOCK = 512
 STEP = 4
 PIVOTS = 2
 #: Hashes by which searches enter; nodes looked at per hash; the other hashes are kept to estimate similarity.
-ENTRY = 8
-PER_HASH = 3
+ENTRY = 12
+PER_HASH = 16
+#: Nodes this much less alike than the threshold are found as well where twice the hashes asked for are equal.
+SLACK = 0.1
 
 
 class Graph:
@@ -228,17 +230,24 @@ class Graph:
         # No width reaches it: searches of this graph look at every node.
         self.beam = n
 
-    def _hits(self, queries: np.ndarray, threshold: float, hashes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, node) of every node found at or above the threshold."""
+    def _hits(self, queries: np.ndarray, threshold: float, hashes: np.ndarray | None, agree: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, node) of every node found at or above the threshold with ``agree`` equal hashes."""
         out_q, out_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         open_queries, beam = np.arange(len(queries)), self.beam
         while len(open_queries):
             nodes, sims = self._beam_search(queries[open_queries], beam, None, None if hashes is None else hashes[open_queries])
             hit = sims >= threshold
             full = hit.all(1) & (beam < len(self.ids))
+            if agree:
+                hit = (sims >= threshold - SLACK) & (nodes >= 0)
             row, col = np.nonzero(hit & ~full[:, None])
-            out_q.append(open_queries[row])
-            out_x.append(nodes[row, col])
+            q, x = open_queries[row], nodes[row, col]
+            if agree:
+                alike = (self.hashes[x] == hashes[q]).sum(1)
+                good = (alike >= 2 * agree) | ((alike >= agree) & (sims[row, col] >= threshold))
+                q, x = q[good], x[good]
+            out_q.append(q)
+            out_x.append(x)
             open_queries, beam = open_queries[full], 2 * beam
         return np.concatenate(out_q), np.concatenate(out_x)
 
@@ -248,10 +257,7 @@ class Graph:
         A beam whose worst node still reaches the threshold may have left others out, so it is doubled
         until it does not: neighbours are never capped.
         """
-        row, node = self._hits(queries, threshold, hashes)
-        if agree and hashes is not None:
-            alike = (self.hashes[node] == hashes[row]).sum(1) >= agree
-            row, node = row[alike], node[alike]
+        row, node = self._hits(queries, threshold, hashes, agree if hashes is not None else 0)
         return row, self.ids[node]
 
     def dumps(self) -> bytes:

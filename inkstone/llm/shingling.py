@@ -7,7 +7,6 @@ words here; a column of word arrays is taken as it is.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +14,8 @@ import pyarrow as pa
 import pyarrow.types as pt
 import xxhash
 
-from inkstone.llm.text_forms import consistent_form
+from inkstone.llm.text_forms import consistent_form, word_list
 
-_WORD = re.compile(r"[^\W_]+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 #: Rows worked on together: bounds the arrays of a task whatever the length of a batch.
 PIECE = 2048
@@ -52,7 +50,7 @@ def word_hashes(column: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np
     sizes, flat = np.zeros(len(column), np.int64), []
     for i, text in enumerate(column.to_pylist()):
         if text:
-            words = _WORD.findall(consistent_form(text).lower())
+            words = word_list(consistent_form(text).lower())
             sizes[i] = len(words)
             flat += map(known.__getitem__, words)
     return sizes, np.array(flat, dtype=np.uint64)

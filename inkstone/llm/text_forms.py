@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -92,8 +93,9 @@ _LATIN_LETTER = re.compile("[A-Za-z\u00c0-\u024f]")
 _TRAILING = re.compile(" +(?=\n)")
 
 
-def _decisive(text: str) -> tuple[int, int, int]:
-    """Letters that belong to one alphabet only: Latin, Cyrillic, Greek."""
+@lru_cache(1 << 16)
+def _decisive_in(text: str) -> tuple[int, int, int]:
+    """Letters of a word that belong to one alphabet only: Latin, Cyrillic, Greek."""
     latin = cyrillic = greek = 0
     for ch in text:
         o = ord(ch)
@@ -106,6 +108,14 @@ def _decisive(text: str) -> tuple[int, int, int]:
     return latin, cyrillic, greek
 
 
+def _decisive(text: str) -> tuple[int, int, int]:
+    """The same over all words of a text."""
+    latin = cyrillic = greek = 0
+    for a, b, c in map(_decisive_in, _WORD.findall(text)):
+        latin, cyrillic, greek = latin + a, cyrillic + b, greek + c
+    return latin, cyrillic, greek
+
+
 _TO_LATIN = str.maketrans(CYRILLIC_AS_LATIN | GREEK_AS_LATIN | OTHER_AS_LATIN)
 _TO_CYRILLIC = str.maketrans(
     LATIN_AS_CYRILLIC | {k: LATIN_AS_CYRILLIC[v] for k, v in (GREEK_AS_LATIN | OTHER_AS_LATIN).items() if v in LATIN_AS_CYRILLIC}
@@ -115,6 +125,20 @@ _TO_GREEK = str.maketrans(
 )
 
 
+_GROUNDS = {"latin": _TO_LATIN, "cyrillic": _TO_CYRILLIC, "greek": _TO_GREEK}
+
+
+@lru_cache(1 << 16)
+def _settled(w: str, ground: str) -> str:
+    """A word in its own script, or in that of the ground if all its letters are imitated."""
+    a, b, c = _decisive_in(w)
+    if not (a or b or c):
+        return w if ground == "latin" and _FOREIGN.isdisjoint(w) else w.translate(_GROUNDS[ground])
+    if b == c == 0 and _FOREIGN.isdisjoint(w):
+        return w
+    return w.translate(_TO_LATIN if a and a >= max(b, c) else _TO_CYRILLIC if b >= c else _TO_GREEK)
+
+
 _SEGMENT = re.compile("[^.!?\u3002\n]*[.!?\u3002\n]*")
 
 
@@ -135,17 +159,10 @@ def _one_script(text: str) -> str:
 
     def segment(m: re.Match) -> str:
         ground = _ground(_decisive(m.group()), whole)
-
-        def word(m: re.Match) -> str:
-            w = m.group()
-            if ground is _TO_LATIN and _FOREIGN.isdisjoint(w):
-                return w
-            a, b, c = _decisive(w)
-            if not (a or b or c):
-                return w.translate(ground)
-            return w.translate(_TO_LATIN if a and a >= max(b, c) else _TO_CYRILLIC if b >= c else _TO_GREEK)
-
-        return _WORD.sub(word, m.group())
+        if ground is _TO_LATIN and _FOREIGN.isdisjoint(m.group()):
+            return m.group()
+        name = "latin" if ground is _TO_LATIN else "cyrillic" if ground is _TO_CYRILLIC else "greek"
+        return _WORD.sub(lambda m: _settled(m.group(), name), m.group())
 
     return unicodedata.normalize("NFC", _SEGMENT.sub(segment, text))
 
@@ -183,6 +200,14 @@ def form(column: Column | str) -> Column:
     return _form_udf(F.col(column) if isinstance(column, str) else column)
 
 
+_PLAIN_WORD = re.compile(r"[^\W_]+")
+
+
+def word_list(text: str) -> list[str]:
+    """Maximal runs of letters and digits, in the case they have."""
+    return _PLAIN_WORD.findall(text)
+
+
 def words(form_column: Column) -> Column:
     """Words of a text: maximal runs of letters and digits, in lower case."""
     return F.regexp_extract_all(F.lower(form_column), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
