@@ -108,28 +108,41 @@ def nth_smallest(rows: DataFrame, group: list[str], value: str, positions: dict[
     return upto.groupBy(*group, "n").agg(*at)
 
 
-def conformal_table(labelled: DataFrame, score: str = "confidence") -> DataFrame:
-    """Nonconformity quantiles of human rows, of each (domain, length bin) and of all (null, null)."""
-    human = labelled.where("ground_truth = 'human'").select("task_domain", "length_bin", (1 - F.col(score)).alias("nc")).where("nc is not null")
+def stratum(column: str) -> Column:
+    """A part of a stratum's name; null and empty ones are ``unknown``."""
+    return F.when(F.coalesce(F.col(column), F.lit("")) == "", "unknown").otherwise(F.col(column))
+
+
+def conformal_quantiles(labelled: DataFrame, score: str = "confidence") -> DataFrame:
+    """Nonconformity quantiles of human rows, of each (domain, length bin) and of all (null, null).
+
+    Nothing comes out unless there are 20 human rows in all; a stratum needs 10.
+    """
+    human = labelled.where("ground_truth = 'human'").select(stratum("task_domain").alias("task_domain"), stratum("length_bin").alias("length_bin"), (1 - F.col(score)).alias("nc")).where("nc is not null")
     everything = human.select(F.lit(None).cast("string").alias("task_domain"), F.lit(None).cast("string").alias("length_bin"), "nc", F.lit(True).alias("is_global"))
     both = human.withColumn("is_global", F.lit(False)).unionByName(everything)
     at = lambda a: F.least(F.greatest(F.ceil((1 - a) * (F.col("n") + 1) - F.lit(1e-9)), F.lit(1)), F.col("n"))
     table = nth_smallest(both, ["task_domain", "length_bin", "is_global"], "nc", {"q01": at(0.01), "q05": at(0.05), "q10": at(0.10)})
-    return table.where("(is_global and n >= 20) or (not is_global and n >= 10)").select(
-        "task_domain", "length_bin", "is_global", "n", *[F.round(q, 6).alias(q) for q in ("q01", "q05", "q10")]
-    )
+    total = table.where("is_global").select(F.col("n").alias("all_n"))  # one row
+    return table.join(F.broadcast(total), F.lit(True)).where("all_n >= 20 and (is_global or n >= 10)").select("task_domain", "length_bin", "is_global", "n", "q01", "q05", "q10")
+
+
+def conformal_table(labelled: DataFrame, score: str = "confidence") -> DataFrame:
+    """The quantiles, rounded for reading."""
+    return conformal_quantiles(labelled, score).select("task_domain", "length_bin", "is_global", "n", *[F.round(q, 6).alias(q) for q in ("q01", "q05", "q10")])
 
 
 def calibrate(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Adds conformity level and calibrated confidence from the row's stratum, else from the global row."""
-    t = table.where("not is_global").select("task_domain", "length_bin", F.struct("q01", "q05", "q10").alias("own"))
+    t = table.where("not is_global").select(F.col("task_domain").alias("_domain"), F.col("length_bin").alias("_bin"), F.struct("q01", "q05", "q10").alias("own"))
     g = table.where("is_global").select(F.struct("q01", "q05", "q10").alias("any"))
     # The global row is one row; the strata number domains times length bins.
-    joined = rows.join(t, ["task_domain", "length_bin"], "left").join(F.broadcast(g), F.lit(True), "left")
+    domain, size = stratum("task_domain"), stratum("length_bin")
+    joined = rows.join(F.broadcast(t), (domain == F.col("_domain")) & (size == F.col("_bin")), "left").join(F.broadcast(g), F.lit(True), "left")
     nc, q = 1 - F.col("confidence"), F.coalesce("own", "any")
-    level = F.when(q.isNull(), None).when(nc > q["q01"], 0.01).when(nc > q["q05"], 0.05).when(nc > q["q10"], 0.10).otherwise(1.0)
+    level = F.when(q.isNull(), None).when(nc <= q["q01"], 1.0).when(nc <= q["q05"], 0.10).when(nc <= q["q10"], 0.05).otherwise(0.01)
     calibrated = F.when(nc > q["q05"], F.least(F.col("confidence") * 1.15, F.lit(0.99))).when(nc < q["q10"], F.col("confidence") * 0.75).otherwise(F.col("confidence"))
-    source = F.when(F.col("own").isNotNull(), F.concat_ws("_", "task_domain", "length_bin")).when(F.col("any").isNotNull(), "global").otherwise("uncalibrated")
+    source = F.when(F.col("own").isNotNull(), F.concat_ws("_", domain, size)).when(F.col("any").isNotNull(), "global").otherwise("uncalibrated")
     return joined.select(*[rows[c] for c in rows.columns if c not in ("task_domain", "length_bin")], "task_domain", "length_bin", level.alias("conformity_level"), F.round(calibrated, 6).alias("calibrated"), source.alias("stratum"))
 
 

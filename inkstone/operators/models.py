@@ -12,29 +12,33 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.session import materialize
+
 LEAST_LABELS, LEAST_PER_CLASS = 200, 30
 
 
-def labelled_features(rows: DataFrame, features: list[str], truth: str = "ground_truth") -> DataFrame:
-    """Rows labelled ai or human with features filled by zero, the label and a balancing weight."""
+def labelled_features(rows: DataFrame, features: list[str], truth: str = "ground_truth") -> tuple[DataFrame, int]:
+    """(rows labelled ai or human with features filled by zero, the label and a balancing weight; their number).
+
+    The features are written once, since every pass of a training reads them.
+    """
     kept = rows.where(F.col(truth).isin("ai", "human"))
     clean = [F.when(F.col(f).isNull() | F.isnan(F.col(f).cast("double")), 0.0).otherwise(F.col(f).cast("double")).alias(f) for f in features]
-    out = kept.select(*clean, (F.col(truth) == "ai").cast("double").alias("label"))
+    out = materialize(kept.select(*clean, (F.col(truth) == "ai").cast("double").alias("label")), "labelled")
     sizes = {r["label"]: r["n"] for r in out.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
     if total < LEAST_LABELS or min(sizes.get(0.0, 0), sizes.get(1.0, 0)) < LEAST_PER_CLASS:
         raise ValueError(f"needs {LEAST_LABELS} labels and {LEAST_PER_CLASS} of each class, has {sizes}")
-    return out.withColumn("weight", F.when(F.col("label") == 1, total / (2 * sizes[1.0])).otherwise(total / (2 * sizes[0.0])))
+    return out.withColumn("weight", F.when(F.col("label") == 1, total / (2 * sizes[1.0])).otherwise(total / (2 * sizes[0.0]))), total
 
 
-def shadow_model(data: DataFrame, features: list[str]) -> PipelineModel:
-    """Sparse logistic regression on standardised features."""
-    n = data.count()
+def shadow_model(data: DataFrame, features: list[str], labels: int) -> PipelineModel:
+    """Sparse logistic regression on standardised features of ``labels`` rows."""
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=features, outputCol="raw"),
             StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(elasticNetParam=1.0, regParam=1.0 / n, weightCol="weight", maxIter=200),
+            LogisticRegression(elasticNetParam=1.0, regParam=1.0 / labels, weightCol="weight", maxIter=200),
         ]
     ).fit(data)
 
@@ -67,8 +71,9 @@ def ml_determination(p: Column) -> Column:
 
 
 def shadow_disagreement(determination: Column, p: Column) -> Column:
-    flagged = determination.isin("RED", "AMBER", "MIXED")
-    return F.when(flagged & (p < 0.20), "rule_flagged_model_clean").when(~flagged & (p > 0.80), "model_flagged_rule_clean")
+    """Which of the rules and the model flags alone; the model flags above 0.80, and a null verdict is none."""
+    flagged, likely = F.coalesce(determination.isin("RED", "AMBER", "MIXED"), F.lit(False)), p > 0.80
+    return F.when(flagged & ~likely, "rule_flags_model_passes").when(~flagged & likely, "model_flags_rule_passes")
 
 
 def cluster_centroids(vectors: DataFrame, vector: str, k: int) -> list[list[float]]:

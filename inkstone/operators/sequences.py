@@ -14,6 +14,16 @@ def series(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame
     return rows.where(F.col(value).isNotNull()).groupBy(key).agg(F.transform(packed, lambda x: x["_v"]).alias("xs"))
 
 
+def chunks(tokens: Column, size: int = 200) -> Column:
+    """Successive runs of ``size`` tokens; the last may be shorter, no tokens give none."""
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / size).cast("int") - 1), lambda i: F.slice(w, i * size + 1, size))
+        return F.when(F.size(w) > 0, runs).otherwise(F.array().cast("array<array<string>>"))
+
+    return text.bound(tokens, of)
+
+
 def changepoint(xs: Column, threshold: float = 3.0) -> Column:
     """Position of the largest cumulative deviation and its effect; null where there is none."""
 

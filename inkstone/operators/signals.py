@@ -324,7 +324,8 @@ def windows(t: Column, size: int = 5, stride: int = 2) -> Column:
         return F.struct(
             F.round(top, 3).alias("max_window_score"),
             F.round(mean, 3).alias("mean_window_score"),
-            F.round(variance, 4).alias("window_variance"),
+            # The scores are thousandths, so their variance may lie on a tie; ties go up.
+            F.round(variance + F.lit(1e-9), 4).alias("window_variance"),
             run.alias("hot_span_length"),
             n.alias("n_windows"),
             ((variance >= 0.02) & (top >= 0.30) & (mean < 0.50)).alias("mixed_signal"),

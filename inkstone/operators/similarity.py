@@ -6,6 +6,12 @@ Candidates come from shared rare shingles (exact for the threshold) or from shar
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +19,8 @@ from inkstone.functions import text
 from inkstone.session import materialize
 
 HASHES = 128
+#: Rows hashed together.
+PIECE = 512
 
 
 def jaccard_pairs(rows: DataFrame, key: str, group: str, items: str, threshold: float) -> DataFrame:
@@ -46,6 +54,36 @@ def minhash(shingles: Column, hashes: int = HASHES) -> Column:
     return text.bound(shingles, of)
 
 
+def minhashed(rows: DataFrame, key: str, items: str, keep: list[str] = ()) -> DataFrame:
+    """(key, keep..., m): the same signature in array code; each distinct shingle of a batch is hashed once per salt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = [struct.pack(">I", i) for i in range(HASHES)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(at, PIECE)
+                lists = piece.column(piece.num_columns - 1)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                coded = lists.flatten().dictionary_encode()
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                # One row of big-endian prefixes per distinct shingle: md5(salt + shingle) for every salt.
+                prefixes = b"".join(md5(salt + x).digest()[:4] for x in (v.encode() for v in coded.dictionary.to_pylist()) for salt in salts)
+                values = np.frombuffer(prefixes, dtype=">u4").reshape(-1, HASHES).astype(np.int64)
+                out = np.zeros((piece.num_rows, HASHES), dtype=np.int64)
+                full = sizes > 0
+                if full.any():
+                    first = (np.cumsum(sizes) - sizes)[full]
+                    ends = np.append(first[1:], len(codes))
+                    for row, lo, hi in zip(np.flatnonzero(full).tolist(), first.tolist(), ends.tolist()):
+                        out[row] = values[codes[lo:hi]].min(0)
+                offsets = pa.array(np.arange(piece.num_rows + 1) * HASHES, pa.int32())
+                yield pa.record_batch([*piece.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=[*piece.schema.names[:-1], "m"])
+
+    given = rows.select(key, *keep, items)
+    schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes[:-1])
+    return given.mapInArrow(run, f"{schema}, m array<bigint>")
+
+
 def agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.size(a)
 

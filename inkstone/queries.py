@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone import signal_sql
 from inkstone.functions import lexicon, tables, text
 from inkstone.operators import cohort, continuations, models, pair_analysis, residue_python, sequences, signals, similarity
 from inkstone.plans import pipeline
@@ -63,7 +64,7 @@ def language_gate(spark, d):
     return _texts(spark, d).select("row_idx", text.language_gate(F.col("t")).alias("g")).select("row_idx", "g.*")
 
 
-@query()
+@query(signal_sql.SQL["topic_mask"])
 def topic_mask(spark, d):
     masked, n = text.mask_topics(F.col("t"))
     return _texts(spark, d).select("row_idx", n.alias("masks"), F.length(masked).alias("masked_length"))
@@ -120,9 +121,9 @@ def prompt_signature(spark, d):
     return s.select("row_idx", F.round("cfd", 6).alias("cfd"), "distinct_frames", "meta_design_hits", "must_count", "numbered_criteria", F.round("conditional_density", 6).alias("conditional_density"))
 
 
-@query()
+@query(signal_sql.SQL["voice_dissonance"])
 def voice_dissonance(spark, d):
-    return _signal(spark, d, signals.voice_dissonance)
+    return _rounded(_signal(spark, d, signals.voice_dissonance), vsd=4)
 
 
 def _idi_sql() -> str:
@@ -140,26 +141,19 @@ def instruction_density(spark, d):
     return s.select("row_idx", "imperatives", "conditionals", "binary_specs", "missing_refs", "flag_count", F.round("idi", 6).alias("idi"))
 
 
-_PLAIN_PACKS = [n for n in lexicon.PACKS if n != "value_domain"]
-
-
-def _packs_sql() -> str:
-    parts = []
-    for name in _PLAIN_PACKS:
-        p = lexicon.PACKS[name]
-        parts.append("round(" + " + ".join(f"{w} * {_n(x, 'im')}" for w, x in p.patterns) + (" + 2 * " + _n("|".join(rf"\b{k}\b" for k in sorted(p.uppercase, key=len, reverse=True))) if p.uppercase else "") + f", 4) AS {name}")
-    return f"WITH {_T} SELECT row_idx, {', '.join(parts)} FROM t"
+@query(signal_sql.SQL["lexicon_packs"])
+def lexicon_packs(spark, d):
+    s = spread(_texts(spark, d)).select("row_idx", signals.lexicon_packs(F.col("t")).alias("s"))
+    return s.select("row_idx", *[F.round(F.col(f"s.{n}.weighted"), 4).alias(n) for n in lexicon.PACKS])
 
 
-@query(_packs_sql())
-def lexicon_packs(spark, d):
-    s = spread(_texts(spark, d)).select("row_idx", F.struct(*[lexicon.pack_struct(F.col("t"), n) for n in _PLAIN_PACKS]).alias("s"))
-    return s.select("row_idx", *[F.round(F.col(f"s.{n}.weighted"), 4).alias(n) for n in _PLAIN_PACKS])
+def _rounded(rows: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    return rows.select(*[F.round(c, other.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
-@query()
+@query(signal_sql.SQL["expository_signals"])
 def expository_signals(spark, d):
-    return _signal(spark, d, signals.expository)
+    return _rounded(_signal(spark, d, signals.expository))
 
 
 @query()
@@ -168,12 +162,12 @@ def self_similarity(spark, d):
     return df.select("row_idx", signals.self_similarity(F.col("e"), F.col("z.comp_ratio"), F.col("z.shuffled_comp_ratio")).alias("s")).select("row_idx", "s.*")
 
 
-@query()
+@query(signal_sql.SQL["stylometry"])
 def stylometry(spark, d):
     return _signal(spark, d, signals.stylometry)
 
 
-@query()
+@query(signal_sql.SQL["sentence_windows"])
 def sentence_windows(spark, d):
     return _signal(spark, d, signals.windows, ["max_window_score", "mean_window_score", "window_variance", "hot_span_length", "n_windows", "mixed_signal", "fw_trajectory_cv"])
 
@@ -262,7 +256,7 @@ def punctuation_pairs(spark, d):
 # Fusion --------------------------------------------------------------------------------------------
 
 
-def _scored(spark, d, models: bool = False, disabled: tuple[str, ...] = ()) -> DataFrame:
+def _scored(spark, d, models: bool = True, disabled: tuple[str, ...] = ()) -> DataFrame:
     return pipeline.score(spread(table(spark, d, "tasks").select("row_idx", "occupation", "attempter", "prompt")), "prompt", models, disabled)
 
 
@@ -323,7 +317,15 @@ def similarity_pairs(spark, d):
     return similarity.jaccard_pairs(_shingled(spark, d), "row_idx", "occupation", "s", 0.40).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+_ALL_PAIRS = f"""{_SHINGLES}, x AS (SELECT row_idx, occupation, unnest(sh) AS g FROM s),
+k AS (SELECT a.row_idx AS a, b.row_idx AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.occupation = b.occupation AND a.row_idx < b.row_idx GROUP BY ALL),
+v AS (SELECT row_idx, arg_max(structural_vec, (batch_ts, fp_id)) AS v FROM fingerprints GROUP BY row_idx), r AS (SELECT s.*, lower(trim(coalesce(attempter, ''))) AS who, coalesce(v, list_transform(range(16), lambda i: 0.0::DOUBLE)) AS v FROM s LEFT JOIN v USING (row_idx)),
+p AS (SELECT p.row_idx AS a, q.row_idx AS b, p.occupation, p.who AS wa, q.who AS wb, len(p.sh) AS na, len(q.sh) AS nb, 1 / (1 + list_distance(p.v, q.v)) AS st FROM r p JOIN r q ON p.occupation = q.occupation AND p.row_idx < q.row_idx),
+j AS (SELECT p.*, coalesce(k / (na + nb - k), 0) AS jac FROM p LEFT JOIN k USING (a, b)),
+m AS (SELECT occupation, count(*) AS pairs, median(jac) AS jm, stddev_samp(jac) AS js, median(st) AS sm, stddev_samp(st) AS ss FROM j GROUP BY occupation HAVING count(*) >= 3)"""
+
+
+@query(f"WITH {_ALL_PAIRS} SELECT occupation, pairs, round(u.m, 6) AS median, round(u.s, 6) AS spread, round(u.m + 2 * greatest(u.s, .02::DOUBLE), 6) AS outlier_above FROM (SELECT occupation, pairs, {{'m': jm, 's': js}} AS u FROM m)")
 def similarity_baseline(spark, d):
     """Over all pairs of an occupation."""
     sets = pair_analysis.prepared(_shingled(spark, d), "row_idx", "occupation", None, "s")
@@ -331,23 +333,32 @@ def similarity_baseline(spark, d):
     return out.select(F.col("g").alias("occupation"), "pairs", *[F.round(c, 6).alias(c) for c in ("median", "spread", "outlier_above")])
 
 
+_salt = lambda i: rf"\x00\x00\x00\x{i:02x}"
+
+
 @query(f"""WITH {_SHINGLES}, x AS (SELECT row_idx, unnest(sh) AS g FROM s)
-SELECT row_idx, CAST(min(CAST('0x' || substr(md5('\\x00\\x00\\x00\\x00'::BLOB || encode(g)), 1, 8) AS BIGINT)) AS BIGINT) AS h0,
- CAST(min(CAST('0x' || substr(md5('\\x00\\x00\\x00\\x01'::BLOB || encode(g)), 1, 8) AS BIGINT)) AS BIGINT) AS h1, CAST(min(CAST('0x' || substr(md5('\\x00\\x00\\x00\\x7f'::BLOB || encode(g)), 1, 8) AS BIGINT)) AS BIGINT) AS h127 FROM x GROUP BY row_idx""")
+SELECT row_idx, array_to_string([{', '.join(f"min(CAST('0x' || substr(md5('{_salt(i)}'::BLOB || encode(g)), 1, 8) AS BIGINT))" for i in range(128))}], ',') AS signature FROM x GROUP BY row_idx""")
 def minhash_signatures(spark, d):
-    m = spread(_shingled(spark, d)).where(F.size("s") > 0).select("row_idx", similarity.minhash(F.col("s")).alias("m"))
-    return m.select("row_idx", *[F.get("m", F.lit(i)).alias(f"h{i}") for i in (0, 1, 127)])
+    """All 128 values of each row, and their digest."""
+    m = similarity.minhashed(spread(_shingled(spark, d).where(F.size("s") > 0)), "row_idx", "s")
+    return m.select("row_idx", F.concat_ws(",", F.col("m").cast("array<string>")).alias("signature"))
 
 
-@query()
+@query(f"""WITH {_SHINGLES}, x AS (SELECT row_idx, unnest(sh) AS g FROM s), b AS (SELECT row_idx, min(batch_id) AS batch FROM fingerprints GROUP BY row_idx),
+m AS (SELECT row_idx, i, min(CAST('0x' || substr(md5(unhex(printf('%08x', i)) || encode(g)), 1, 8) AS BIGINT)) AS v FROM x, range(128) t(i) GROUP BY ALL),
+n AS (SELECT m.*, batch, lower(trim(coalesce(attempter, ''))) AS who FROM m JOIN b USING (row_idx) JOIN s USING (row_idx) WHERE batch IS NOT NULL)
+SELECT c.row_idx AS cur_key, o.row_idx AS old_key, count(*) / 128 AS similarity FROM n c JOIN n o ON c.i = o.i AND c.v = o.v AND o.batch < c.batch WHERE c.who = '' OR o.who = '' OR c.who <> o.who GROUP BY ALL HAVING count(*) >= 64""")
 def cross_batch(spark, d):
     """Each row belongs to the earliest batch that names it, as in problem 6."""
     named = table(spark, d, "fingerprints").groupBy("row_idx").agg(F.min("batch_id").alias("batch"))
-    sig = spread(_shingled(spark, d)).where(F.size("s") > 0).select("row_idx", "attempter", similarity.minhash(F.col("s")).alias("m"))
+    sig = similarity.minhashed(spread(_shingled(spark, d).where(F.size("s") > 0)), "row_idx", "s", ["attempter"])
     return similarity.earlier_batches(sig.join(named, "row_idx"), "row_idx", "attempter", "m", "batch")
 
 
-@query()
+@query(f"""WITH {_ALL_PAIRS}, f AS (SELECT a, b, jac >= .4 AS t, st >= .9 AS u, coalesce(jac >= jm + 2 * greatest(js, .02::DOUBLE) AND jac > jm + .05 AND jac < .4, false) AS ta, coalesce(st >= sm + 2 * greatest(ss, .02::DOUBLE) AND st > sm + .03 AND st < .9, false) AS ua
+ FROM j LEFT JOIN m USING (occupation) WHERE wa = '' OR wb = '' OR wa <> wb), e AS (SELECT a AS row_idx, ta OR ua AS ad FROM f WHERE t OR u OR ta OR ua UNION ALL SELECT b, ta OR ua FROM f WHERE t OR u OR ta OR ua),
+c AS (SELECT row_idx, count(*) AS partners, bool_or(ad) AS ad FROM e GROUP BY row_idx), l AS (SELECT row_idx, determination FROM results WHERE row_idx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_idx ORDER BY scored_at DESC NULLS LAST, result_id DESC) = 1)
+SELECT row_idx, determination, CASE WHEN ad AND determination IN ('GREEN', 'REVIEW') THEN 'YELLOW' ELSE determination END AS adjusted, coalesce(partners, 0) AS partners FROM l LEFT JOIN c USING (row_idx)""")
 def similarity_feedback(spark, d):
     """Flags by each occupation's own thresholds; the structural vector is that of the latest fingerprint."""
     vectors = cohort.latest(table(spark, d, "fingerprints").select("row_idx", "structural_vec", "batch_ts", "fp_id"), "row_idx", ["batch_ts", "fp_id"])
@@ -408,17 +419,33 @@ def _quantile_sql(alpha: float) -> str:
     return f"round(list_sort(list(nc))[least(greatest(CAST(ceil({1 - alpha} * (count(*) + 1) - 1e-9) AS BIGINT), 1), count(*))], 6) AS q{int(alpha * 100):02d}"
 
 
-@query(f"""WITH {_LAB}, h AS (SELECT task_domain, length_bin, 1 - confidence AS nc FROM l WHERE ground_truth = 'human')
-SELECT task_domain, length_bin, false AS is_global, count(*) AS n, {', '.join(map(_quantile_sql, (0.01, 0.05, 0.10)))} FROM h GROUP BY task_domain, length_bin HAVING count(*) >= 10
+_STRATA = "coalesce(nullif(task_domain, ''), 'unknown') AS task_domain, coalesce(nullif(length_bin, ''), 'unknown') AS length_bin"
+
+
+@query(f"""WITH {_LAB}, h AS (SELECT {_STRATA}, 1 - confidence AS nc FROM l WHERE ground_truth = 'human')
+SELECT task_domain, length_bin, false AS is_global, count(*) AS n, {', '.join(map(_quantile_sql, (0.01, 0.05, 0.10)))} FROM h WHERE (SELECT count(*) FROM h) >= 20 GROUP BY task_domain, length_bin HAVING count(*) >= 10
 UNION ALL SELECT NULL, NULL, true, count(*), {', '.join(map(_quantile_sql, (0.01, 0.05, 0.10)))} FROM h HAVING count(*) >= 20""")
 def conformal_table(spark, d):
     return cohort.conformal_table(_labelled(spark, d))
 
 
-@query()
+def _plain_quantile(alpha: float) -> str:
+    return f"list_sort(list(nc))[least(greatest(CAST(ceil({1 - alpha} * (count(*) + 1) - 1e-9) AS BIGINT), 1), count(*))] AS q{int(alpha * 100):02d}"
+
+
+_QUANTILES = ", ".join(map(_plain_quantile, (0.01, 0.05, 0.10)))
+
+
+@query(f"""WITH {_LAB}, h AS (SELECT {_STRATA}, 1 - confidence AS nc FROM l WHERE ground_truth = 'human'),
+s AS (SELECT task_domain AS dom, length_bin AS bin, {_QUANTILES} FROM h WHERE (SELECT count(*) FROM h) >= 20 GROUP BY 1, 2 HAVING count(*) >= 10), g AS (SELECT {_QUANTILES} FROM h HAVING count(*) >= 20),
+r AS (SELECT result_id, confidence, 1 - confidence AS nc, task_domain, length_bin, dom, bin, g.q01 AS gq, coalesce(s.q01, g.q01) AS q01, coalesce(s.q05, g.q05) AS q05, coalesce(s.q10, g.q10) AS q10 FROM results
+ LEFT JOIN s ON dom = coalesce(nullif(task_domain, ''), 'unknown') AND bin = coalesce(nullif(length_bin, ''), 'unknown') LEFT JOIN g ON true WHERE confidence BETWEEN 0 AND 1)
+SELECT result_id, confidence, task_domain, length_bin, CASE WHEN q01 IS NULL THEN NULL WHEN nc <= q01 THEN 1.0::DOUBLE WHEN nc <= q05 THEN 0.1 WHEN nc <= q10 THEN 0.05 ELSE 0.01 END AS conformity_level,
+ round(CASE WHEN nc > q05 THEN least(confidence * 1.15::DOUBLE, 0.99::DOUBLE) WHEN nc < q10 THEN confidence * 0.75::DOUBLE ELSE confidence END, 6) AS calibrated,
+ CASE WHEN dom IS NOT NULL THEN dom || '_' || bin WHEN gq IS NOT NULL THEN 'global' ELSE 'uncalibrated' END AS stratum FROM r""")
 def calibrated_results(spark, d):
     rows = table(spark, d, "results").select("result_id", "confidence", "task_domain", "length_bin").where("confidence between 0 and 1")
-    return cohort.calibrate(rows, materialize(cohort.conformal_table(_labelled(spark, d)), "conformal"))
+    return cohort.calibrate(rows, materialize(cohort.conformal_quantiles(_labelled(spark, d)), "conformal"))
 
 
 _METRICS = ["confidence", "prompt_signature_composite", "instruction_density_idi", "voice_dissonance_vsd", "self_similarity_nssi_score"]
@@ -492,11 +519,11 @@ def store_summary(spark, d):
 x AS (SELECT task_id, arg_max(text, rec_id) AS text FROM corpus WHERE task_id IS NOT NULL AND text IS NOT NULL GROUP BY 1),
 t AS (SELECT g, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_full_match(w, '\\p{L}{3,}'))) AS token FROM x JOIN k USING (task_id) WHERE g IN ('ai', 'human')),
 c AS (SELECT token, count(*) FILTER (g = 'ai') AS n_ai, count(*) FILTER (g = 'human') AS n_human FROM t GROUP BY 1), s AS (SELECT sum(n_ai) AS a, sum(n_human) AS h, count(*) AS v FROM c)
-SELECT * FROM (SELECT token, n_ai, n_human, round(ln(((n_ai + .05) / (a + .05 * v)) / ((n_human + .05) / (h + .05 * v))), 4) AS log_odds FROM c, s WHERE n_ai >= 3 AND a >= 500 AND h >= 500) WHERE log_odds > 1.5""")
+SELECT * FROM (SELECT token, n_ai, n_human, round(ln(((n_ai + .05) / (a + .05 * v)) / ((n_human + .05) / (h + .05 * v))), 4) AS log_odds FROM c, s WHERE n_ai >= 10 AND a >= 500 AND h >= 500) WHERE log_odds > 1.5""")
 def lexicon_discovery(spark, d):
     truth = cohort.latest(table(spark, d, "confirmed").select("task_id", "ground_truth", "verified_at", "confirm_id"), "task_id", ["verified_at", "confirm_id"])
     texts = cohort.latest(table(spark, d, "corpus").where("text is not null").select("task_id", "text", "rec_id"), "task_id", ["rec_id"])
-    return cohort.log_odds(texts.join(truth, "task_id"), F.col("text"), "ground_truth", least=3)
+    return cohort.log_odds(texts.join(truth, "task_id"), F.col("text"), "ground_truth")
 
 
 @query("""SELECT CASE WHEN norm_homoglyphs > 0 AND norm_invisible_chars > 0 THEN 'combined' WHEN norm_homoglyphs > 0 THEN 'homoglyph' WHEN norm_invisible_chars > 0 THEN 'zero_width' ELSE 'none' END AS attack_type, count(*) AS n FROM results GROUP BY 1""")
@@ -514,7 +541,7 @@ def confirmations_enriched(spark, d):
 @query(f"""WITH s AS (SELECT task_id, determination AS det FROM submissions WHERE task_id <> '' QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY recorded_at DESC NULLS LAST, sub_id DESC) = 1),
 k AS (SELECT task_id, ground_truth AS g FROM confirmed WHERE task_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY verified_at DESC NULLS LAST, confirm_id DESC) = 1)
 SELECT task_id, det AS determination, g AS ground_truth, CASE WHEN det IN ('RED', 'AMBER', 'MIXED') AND g = 'human' THEN 'rule_only' WHEN NOT det IN ('RED', 'AMBER', 'MIXED') AND g = 'ai' THEN 'truth_only' END AS disagreement FROM s JOIN k USING (task_id)""")
-def shadow_disagreement(spark, d):
+def verdicts_against_truth(spark, d):
     subs = table(spark, d, "submissions").where("task_id != ''").select("task_id", "determination", "recorded_at", "sub_id")
     last = cohort.latest(subs, "task_id", ["recorded_at", "sub_id"])
     truth = cohort.latest(table(spark, d, "confirmed").select("task_id", "ground_truth", "verified_at", "confirm_id"), "task_id", ["verified_at", "confirm_id"])
@@ -565,9 +592,17 @@ def _user_series(spark, d) -> DataFrame:
     return sequences.series(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
 
 
-@query()
+def changepoint_sql(threshold: float) -> str:
+    return f"""WITH x AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
+c AS (SELECT user_id, i, n, v, avg(v) OVER (PARTITION BY user_id) AS m, stddev_samp(v) OVER (PARTITION BY user_id) AS s FROM x WHERE n >= 6), k AS (SELECT *, sum(v - m) OVER (PARTITION BY user_id ORDER BY i) AS cum FROM c),
+b AS (SELECT user_id, n, any_value(s) AS s, arg_max(i + 1, round(abs(cum), 6) * 1000000 - i / n) AS pos FROM k WHERE i < n - 1 GROUP BY user_id, n),
+e AS (SELECT b.user_id, pos, any_value(s) AS s, avg(v) FILTER (i < pos) AS p, avg(v) FILTER (i >= pos) AS q FROM b JOIN x USING (user_id) WHERE pos >= 2 AND pos <= b.n - 2 AND b.s >= 1e-6 GROUP BY b.user_id, pos)
+SELECT user_id, CAST(pos AS INT) AS changepoint, round(abs(q - p) / s, 3) AS effect_size, round(p, 4) AS mean_before, round(q, 4) AS mean_after FROM e WHERE abs(q - p) / s >= {threshold}"""
+
+
+@query(changepoint_sql(3.0))
 def changepoints(spark, d):
-    c = _user_series(spark, d).select("user_id", sequences.changepoint(F.col("xs"), 0.5).alias("c"))
+    c = _user_series(spark, d).select("user_id", sequences.changepoint(F.col("xs")).alias("c"))
     return c.where("c is not null").select("user_id", "c.*")
 
 
@@ -615,14 +650,24 @@ def windowed_events(spark, d):
 # Models --------------------------------------------------------------------------------------------
 
 
+@query(f"""SELECT result_id, determination, calibrated_confidence AS p_ai, CASE WHEN coalesce({_FL}, false) AND calibrated_confidence <= .8 THEN 'rule_flags_model_passes'
+ WHEN NOT coalesce({_FL}, false) AND calibrated_confidence > .8 THEN 'model_flags_rule_passes' END AS disagreement FROM results WHERE calibrated_confidence BETWEEN 0 AND 1""")
+def shadow_disagreement(spark, d):
+    """Verdicts against a given probability of machine text, here the calibrated confidence of the table."""
+    rows = table(spark, d, "results").where("calibrated_confidence between 0 and 1")
+    p = F.col("calibrated_confidence")
+    return rows.select("result_id", "determination", p.alias("p_ai"), models.shadow_disagreement(F.col("determination"), p).alias("disagreement"))
+
+
 @query()
 def shadow_scores(spark, d):
-    """Probability of the shadow classifier for every result, trained on the labelled ones."""
+    """Probability of the shadow classifier for every result, trained on the latest result of each confirmed task."""
     features = ["prompt_signature_composite", "instruction_density_idi", "voice_dissonance_vsd", "self_similarity_nssi_score", "lang_fw_coverage"]
     results = table(spark, d, "results")
     truth = cohort.latest(table(spark, d, "confirmed").select("task_id", "ground_truth", "verified_at", "confirm_id"), "task_id", ["verified_at", "confirm_id"])
-    data = materialize(models.labelled_features(results.join(truth, "task_id"), features), "labelled")
-    model = models.shadow_model(data, features)
+    last = cohort.latest(results.where("task_id != ''").select("task_id", *features, "scored_at", "result_id"), "task_id", ["scored_at", "result_id"])
+    data, labels = models.labelled_features(last.join(truth, "task_id"), features)
+    model = models.shadow_model(data, features, labels)
     filled = results.select("result_id", "determination", *[F.coalesce(F.when(~F.isnan(f), F.col(f)), F.lit(0.0)).alias(f) for f in features])
     scored = model.transform(filled.withColumn("label", F.lit(0.0)).withColumn("weight", F.lit(1.0)))
     p = models.probability(scored)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    A folder of our own is used only where that is unset and the executors are threads of this process: on a
+    cluster, each would write to its own disk and reads would come back incomplete.
+    """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    return set_by_cluster or f"file://{tempfile.gettempdir()}/inkstone-shared"
+    if set_by_cluster:
+        return set_by_cluster
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return f"file://{tempfile.gettempdir()}/inkstone-shared"
 
 
 def _forget() -> None:

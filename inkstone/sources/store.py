@@ -24,6 +24,11 @@ class Store:
     def read(self, relation: str) -> DataFrame:
         return self.spark.read.parquet(self.path(relation))
 
+    def holds(self, relation: str) -> bool:
+        """Whether anything was written to a relation yet; a folder that cannot be looked at is an error."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(relation))
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
     def record_batch(self, relation: str, rows: DataFrame, batch_id: str) -> None:
         stamped = rows.withColumn("batch_id", F.lit(batch_id))
         stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(self.path(relation))

@@ -34,11 +34,8 @@ def against_history(store: Store, signature: str = "minhash") -> Callable[[DataF
 
     def run(batch: DataFrame, batch_number: int) -> None:
         name = f"stream_{batch_number:012d}"
-        try:
+        if store.holds("fingerprints"):
             history = store.read("fingerprints").where(F.col("batch_id") < name)
-        except Exception:  # noqa: BLE001 - the first batch has no history
-            history = None
-        if history is not None:
             found = similarity.cross_batch(batch, history, "task_id", "attempter", signature)
             found.withColumn("batch_id", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{store.root}/matches")
         store.record_batch("fingerprints", batch, name)
