@@ -27,7 +27,8 @@ from inkstone.llm.text_forms import _per_distinct, consistent_form
 from inkstone.session import materialize
 
 _NAME_WORD = re.compile(r"[^\W_]+")
-BUCKETS = 64
+#: Groups of one weight that are ranked together.
+CELL_GROUPS = 200_000
 
 
 def _name_key(name: str | None) -> str | None:
@@ -117,11 +118,14 @@ def related_groups(records: DataFrame, id_col: str, keys: list[str], edges: Data
 def assign_splits(groups: DataFrame, id_col: str, parts: dict[str, float]) -> DataFrame:
     """(id, group_id, split): groups fall to the splits by cumulative weight, heaviest first.
 
-    Weights are summed per (weight, hash bucket) cell first; that table holds at most ``BUCKETS`` rows per
-    distinct weight, and distinct weights number at most the square root of twice the records, so the
-    window over it stays small while the groups themselves are ranked cell by cell.
+    Weights are summed per (weight, hash bucket) cell first. Light groups, the bulk of them, have as many cells as keep
+    each below ``CELL_GROUPS`` groups; the window over the cells sees one row a cell, so it grows with the groups over
+    ``CELL_GROUPS`` while the groups themselves are ranked cell by cell.
     """
-    weights = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("w")).withColumn("cell", F.pmod(F.xxhash64("group_id"), F.lit(BUCKETS)))
+    weights = materialize(groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("w")), "group-weights")
+    # Distinct weights number at most the square root of twice the records.
+    sizes = weights.groupBy("w").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL_GROUPS), F.lit(1)).alias("cells"))
+    weights = weights.join(sizes, "w").select("group_id", "w", F.pmod(F.xxhash64("group_id"), F.col("cells")).alias("cell"))
     weights = materialize(weights, "weights")
     cells = weights.groupBy("w", "cell").agg(F.sum("w").alias("mass"))
     before = Window.orderBy(F.col("w").desc(), "cell").rowsBetween(Window.unboundedPreceding, -1)
