@@ -8,7 +8,8 @@ The classifiers are fitted on a bounded sample of labelled rows: at most ``SAMPL
 language, those of smallest row hash, whatever the size of the data. Labels of the sample may be wrong,
 so segments are relabelled by each fit before the next. Everything
 else covers all rows: each text is cut into sentences (long runs without stops into windows), every
-segment is decoded, and a language belongs to a text if a segment of at least ``MIN_WORDS`` words is in it.
+segment is decoded, and a language belongs to a text if a segment of at least ``MIN_WORDS`` words is in it, or a
+shorter sentence that ends in a mark and is decoded as surely as ``SHORT_SURE``.
 
 Defined results: null and blank texts have no languages; a text too short for a whole segment is decoded
 as one; without any labelled row nothing can be fitted and no text has a language.
@@ -33,6 +34,10 @@ DIMENSIONS = 1 << 14
 BITS = 15
 MIN_WORDS = 5
 MIN_HAN = 7
+#: A shorter sentence counts as well if it ends in a mark, has at least this many words (or Han characters) and is as sure.
+SHORT_WORDS = 3
+SHORT_HAN = 4
+SHORT_SURE = 0.99
 WINDOW_WORDS = 14
 AMBIGUOUS = 0.9
 SMOOTHING = 0.5
@@ -214,24 +219,32 @@ def _whole(words: list[str]) -> bool:
     return len(words) >= MIN_WORDS or sum(len(w) for w in words if _HAN.match(w)) >= MIN_HAN
 
 
+def _short(part: str, words: list[str]) -> bool:
+    """Whether a part is a sentence by its mark, though too short to be trusted unless it is decoded surely."""
+    return part.rstrip()[-1:] in tuple(".!?…。！？") and (len(words) >= SHORT_WORDS or sum(len(w) for w in words if _HAN.match(w)) >= SHORT_HAN)
+
+
 def detect(model: OutputCodes, texts: list[str | None]) -> list[list[tuple[int, int, str, float, bool, bool]]]:
     """Segments (start, end, language, confidence, ambiguous, whole) of each text's consistent form."""
     owners, spans, parts, out = [], [], [], []
     for k, text in enumerate(texts):
         out.append([])
         form = consistent_form(text) if text else ""
-        found = [(a, b, _clean(p)) for a, b, p in segments(form)] if form else []
-        whole = [x for x in found if _whole(x[2])]
-        if not whole and form and (words := _clean(form)):
-            whole = [(0, len(form), words)]
-        for a, b, words in whole:
+        found = [(a, b, p, _clean(p)) for a, b, p in segments(form)] if form else []
+        if any(_whole(words) for *_, words in found):
+            kept = [(a, b, words, not _whole(words)) for a, b, p, words in found if _whole(words) or _short(p, words)]
+        else:
+            words = _clean(form)
+            kept = [(0, len(form), words, False)] if words else []
+        for a, b, words, short in kept:
             owners.append(k)
-            spans.append((a, b, _whole(words)))
+            spans.append((a, b, _whole(words), short))
             parts.append(words)
     if parts:
         best, confidence = model.decode(parts)
-        for k, (a, b, whole), i, c in zip(owners, spans, best.tolist(), confidence.tolist()):
-            out[k].append((a, b, model.languages[i], round(c, 4), c < AMBIGUOUS, whole))
+        for k, (a, b, whole, short), i, c in zip(owners, spans, best.tolist(), confidence.tolist()):
+            if not short or c >= SHORT_SURE:
+                out[k].append((a, b, model.languages[i], round(c, 4), c < AMBIGUOUS, whole or short))
     return out
 
 

@@ -102,6 +102,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return text_forms.look_alike_pairs(table(spark, d, "tasks"), "row_idx", "prompt")
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return text_forms.look_alike_classes(table(spark, d, "tasks"), "row_idx", "prompt")
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return text_forms.consistent_forms(table(spark, d, "tasks"), "row_idx", "prompt")
 

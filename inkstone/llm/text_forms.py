@@ -232,6 +232,41 @@ def consistent_forms(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).select(id_col, "consistent_form", (F.col("_raw") != F.col("consistent_form")).alias("is_changed"))
 
 
+def _looks(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, raw_key, look): digests of the text and of its form; rows of null and blank texts are left out."""
+    keyed = (
+        rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"))
+        .where(F.col("raw").isNotNull())
+        .select("id", F.md5("raw").alias("raw_key"), F.md5(form("raw")).alias("look"))
+    )
+    # Written once: a filter on a form, or a second use of it, would compute every form again.
+    return materialize(keyed, "looks").where(F.col("look") != F.md5(F.lit("")))
+
+
+def look_alike_classes(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, writings, copies): one row per record whose look is written in several ways; no pairs are formed.
+
+    ``class_id`` is the smallest id of the look, ``writings`` its different writings, ``copies`` its rows.
+    """
+    keyed = _looks(rows, id_col, text_col)
+    # Counted per writing first, so a look of any number of rows is one row per writing.
+    writings = keyed.groupBy("look", "raw_key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    looks = writings.groupBy("look").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("writings"), F.sum("n").alias("copies")).where("writings > 1")
+    return keyed.join(looks, "look").select(F.col("id").alias(id_col), "class_id", "writings", "copies")
+
+
+def folded_form(text: str | None) -> str | None:
+    """The consistent form in full case folding, for comparisons that ignore case."""
+    form = consistent_form(text)
+    return None if form is None else unicodedata.normalize("NFC", form.casefold())
+
+
+@F.arrow_udf(StringType())
+def folded(values: pa.Array) -> pa.Array:
+    """Column of folded forms."""
+    return _per_distinct(values, folded_form)
+
+
 def look_alike_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Pairs (id_a < id_b) of rows whose texts look the same but are not the same characters.
 
@@ -239,13 +274,7 @@ def look_alike_pairs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     raw texts are equal are dropped by a pre-aggregated min/max test before any pair is formed. Null and
     blank texts are in no pair; repeated rows of equal characters pair only with differing characters.
     """
-    keyed = (
-        rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("raw"))
-        .where(F.col("raw").isNotNull())
-        .select("id", F.md5("raw").alias("raw_key"), F.md5(form("raw")).alias("look"))
-    )
-    # Written once: a filter on a form, or a second use of it, would compute every form again.
-    keyed = materialize(keyed, "looks").where(F.col("look") != F.md5(F.lit("")))
+    keyed = _looks(rows, id_col, text_col)
     mixed = keyed.groupBy("look").agg(F.min("raw_key").alias("lo"), F.max("raw_key").alias("hi")).where("lo != hi").select("look")
     inside = keyed.join(mixed, "look", "left_semi")
     left = inside.select("look", F.col("id").alias("a"), F.col("raw_key").alias("ka"))

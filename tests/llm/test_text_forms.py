@@ -36,3 +36,10 @@ def test_pairs_match_brute_force(spark):
     assert {tuple(r) for r in text_forms.look_alike_pairs(df, "row_idx", "prompt").collect()} == want
     assert text_forms.look_alike_pairs(df.limit(0), "row_idx", "prompt").count() == 0
     assert text_forms.consistent_forms(df, "row_idx", "prompt").count() == 8
+
+
+def test_classes_count_writings_and_copies(spark):
+    rows = [(1, "a b"), (2, "a\u00a0b"), (3, "a b"), (4, "c"), (5, "c"), (6, None), (7, " ")]
+    got = text_forms.look_alike_classes(spark.createDataFrame(rows, "row_idx long, t string"), "row_idx", "t").collect()
+    assert {tuple(r) for r in got} == {(1, 1, 2, 3), (2, 1, 2, 3), (3, 1, 2, 3)}
+    assert text_forms.folded_form("Stra\u00dfe") == "strasse" and text_forms.folded_form(None) is None

@@ -154,3 +154,10 @@ def test_batches_match_sequential_rule(spark):
                 new.append(i)
         accepted += new
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_a_short_second_sentence_counts_when_it_is_sure():
+    # The model of this test knows few words, so the sentences are made of words it has seen.
+    model = language_id.train([(s, lang) for lang, s in SENTENCES.items()] * 3)
+    found = language_id.detect(model, [SENTENCES["en"] + " Wir brauchen die Zahlen."])[0]
+    assert {s[2] for s in found if s[5]} == {"en", "de"}
