@@ -9,6 +9,8 @@ from inkstone.functions import text
 
 # Severities in ascending order.
 SEVERITIES = ("GREEN", "YELLOW", "AMBER", "RED")
+CHANNELS = ("prompt_structure", "stylometry", "continuation", "windowing")
+REASONS_SHOWN, WEAK_SHOWN = 3, 2
 
 
 def level(severity: Column) -> Column:
@@ -122,10 +124,22 @@ def mode(composite: Column, idi: Column, framing: Column, nssi_signals: Column,
     return F.when(generic > prompt + 0.1, "generic_aigt").otherwise("task_prompt")
 
 
+def _named(channels: Column, among, most: int, strongest: bool) -> Column:
+    """Names and severities of the first ``most`` channels that qualify, the strongest first if asked."""
+    placed = F.transform(channels, lambda c, i: F.struct((-c["level"] if strongest else F.lit(0)).alias("l"), i.alias("i"), c.alias("c")))
+    return F.array_join(F.transform(F.slice(F.array_sort(F.filter(placed, lambda e: among(e["c"]))), 1, most), lambda e: F.concat_ws(" ", e["c"]["channel"], e["c"]["severity"])), " + ")
+
+
 def determine(
     channels: list[Column], mode_: Column, words: Column, support_level: Column, critical: Column, mixed: Column, obfuscation: Column, disabled: tuple[str, ...] = ()
 ) -> Column:
-    """determination, confidence and the rule that gave them, with the counts they rest on."""
+    """determination, confidence, the rule and the reason that gave them, with the counts they rest on.
+
+    The reason names the strongest channels, in channel order among equals, and what moved the verdict from theirs.
+    """
+    unknown = set(disabled) - set(CHANNELS)
+    if unknown:
+        raise ValueError(f"no channels {sorted(unknown)}; there are {CHANNELS}")
     packed = F.struct(F.array(*channels).alias("c"), mode_.alias("mode"), words.alias("words"), support_level.alias("gate"), critical.alias("critical"), mixed.alias("mixed"), obfuscation.alias("delta"))
 
     def counted(x: Column) -> Column:
@@ -145,6 +159,8 @@ def determine(
             n(lambda c: on(c) & ~primary(c) & (c["level"] >= 2)).alias("n_support_amber"),
             n(lambda c: (c["score"] > 0) | (c["level"] > 0)).alias("active_channels"),
             n(lambda c: c["score"] > 0.05).alias("n_weak"),
+            _named(kept, on, REASONS_SHOWN, True).alias("why"), _named(kept, lambda c: c["score"] > 0.05, WEAK_SHOWN, False).alias("why_weak"),
+            _named(kept, lambda c: on(c) & ~primary(c) & (c["level"] >= 2), REASONS_SHOWN, True).alias("why_support"),
             F.coalesce(F.array_max(F.transform(F.filter(kept, on), lambda c: c["score"])), F.lit(0.0)).alias("top"),
             (x["mixed"] & F.exists(x["c"], lambda c: (c["channel"] == "windowing") & (c["level"] > 0))).alias("mixed"),
         )
@@ -198,11 +214,25 @@ def determine(
             over = (r != "weak_signals_below_threshold") & (level(base) > ceiling)
             capped, conf = F.when(over, severity_of(ceiling)).otherwise(base), F.when(over, F.least(conf, F.lit(0.40))).otherwise(conf)
             hybrid = r.endswith("_mixed") | r.endswith("_mixed_windowing")
+            why = (
+                F.when(r == "L0_critical_preamble", "prompt_structure: critical preamble")
+                .when(r == "supporting_channel_amber", F.concat(x["why_support"], F.lit(" [supporting channel]")))
+                .when(r == "obfuscation_delta", F.format_string("normalisation changed %.1f%% of the text", x["delta"] * 100))
+                .when(r == "weak_signals_below_threshold", F.concat(F.lit("weak signals: "), x["why_weak"]))
+                .when(r == "no_signal", "no significant signals")
+                .when(r == "primary_red_short_text_relaxed", F.concat(x["why"], F.lit(" [short text]")))
+                .when(r == "primary_red_single_channel_demoted", F.concat(x["why"], F.lit(" [single channel, demoted from RED]")))
+                .when(r == "generic_aigt_red_single_channel", F.concat(x["why"], F.lit(" [single channel]")))
+                .when(r.startswith("multi_channel"), F.concat(x["why"], F.lit(" [convergence]")))
+                .otherwise(x["why"])
+            )
+            why = F.when(over, F.concat(why, F.lit(" [capped from "), base, F.lit(": language support "), F.coalesce(x["gate"], F.lit("")), F.lit("]"))).otherwise(why)
+            why = F.when(hybrid, F.concat(why, F.lit(" [windows vary as in hybrid text]"))).otherwise(why)
             limit = F.when(r.startswith("primary_amber"), 0.60).when(r.startswith("multi_channel"), 0.55).otherwise(0.50)
             return F.struct(
                 F.when(hybrid, "MIXED").otherwise(capped).alias("determination"),
                 F.when(hybrid, F.least(conf, limit)).otherwise(conf).alias("confidence"),
-                r.alias("triggering_rule"), x["mode"].alias("mode"), short.alias("short_text_adjustment"),
+                r.alias("triggering_rule"), why.alias("reason"), x["mode"].alias("mode"), short.alias("short_text_adjustment"),
                 *[x[c].alias(c) for c in ("n_primary_red", "n_primary_amber", "n_primary_yellow_plus", "n_yellow_plus", "n_red", "n_amber_plus", "active_channels")],
             )
 

@@ -70,6 +70,22 @@ def ml_determination(p: Column) -> Column:
     return F.when(p >= 0.85, "RED").when(p >= 0.65, "AMBER").when(p >= 0.40, "YELLOW").when(p >= 0.15, "REVIEW").otherwise("GREEN")
 
 
+def fused(rows: DataFrame, model: PipelineModel | None, features: list[str], verdict: str = "verdict") -> DataFrame:
+    """Scored rows whose verdict comes from a trained model; without one, or without its features, the rules stand.
+
+    Null and NaN features count as zero. Confidence is the probability of machine text, and the rule is ``ml_fusion``.
+    """
+    if model is None or any(f not in rows.columns for f in features):
+        return rows
+    filled = {f: F.coalesce(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")), F.lit(0.0)) for f in features}
+    kept = rows.withColumns({f"_kept_{f}": F.col(f) for f in features}).withColumns(filled)
+    scored = model.transform(kept)
+    p = F.round(probability(scored), 4)
+    said = F.struct(ml_determination(p).alias("determination"), p.alias("confidence"), F.lit("ml_fusion").alias("triggering_rule"), F.format_string("P(AI)=%.2f", p).alias("reason"))
+    out = scored.withColumn(verdict, F.col(verdict).withField("determination", said["determination"]).withField("confidence", said["confidence"]).withField("triggering_rule", said["triggering_rule"]).withField("reason", said["reason"]))
+    return out.select(*[F.col(f"_kept_{c}").alias(c) if c in features else F.col(c) for c in rows.columns])
+
+
 def shadow_disagreement(determination: Column, p: Column) -> Column:
     """Which of the rules and the model flags alone; the model flags above 0.80, and a null verdict is none."""
     flagged, likely = F.coalesce(determination.isin("RED", "AMBER", "MIXED"), F.lit(False)), p > 0.80

@@ -87,6 +87,71 @@ def loss_profile(xs: Column) -> Column:
     return text.bound(xs, of)
 
 
+def perplexity(xs: Column, comp_ratio: Column) -> Column:
+    """Verdict of token losses: bands of perplexity, raised by even surprisal, its decay, and compressibility."""
+
+    def of(r: Column) -> Column:
+        x, n = r["x"], F.size(r["x"])
+        half = F.floor(n / 2).cast("int")
+        var = lambda v: F.pow(text.stdev(v, True), 2)
+        whole = var(x)
+        first = F.when(half > 1, var(F.slice(x, 1, half))).otherwise(whole)
+        second = F.when(n - half > 1, var(F.slice(x, half + 1, n))).otherwise(whole)
+        long = n >= 10
+        return F.struct(
+            F.exp(text.mean(x)).alias("ppl"), F.when(long, whole).otherwise(0.0).alias("var"), n.alias("n"), r["z"].alias("z"),
+            F.when(long & (second > 1e-6), first / second).otherwise(F.when(long, 1.0).otherwise(0.0)).alias("decay"),
+        )
+
+    def banded(r: Column) -> Column:
+        det = F.when(r["ppl"] <= 15, "AMBER").when(r["ppl"] <= 25, "YELLOW")
+        conf = F.when(r["ppl"] <= 15, F.least(F.lit(0.65), (20 - r["ppl"]) / 20)).when(r["ppl"] <= 25, F.least(F.lit(0.35), (30 - r["ppl"]) / 30)).otherwise(0.0)
+        even, fading = (r["var"] < 2.0) & (r["n"] >= 30), (r["decay"] > 1.5) & (r["n"] >= 40)
+        return F.struct(*[r[c].alias(c) for c in ("ppl", "var", "n", "z", "decay")], det.alias("d"), conf.alias("c"), even.alias("even"), fading.alias("fading"))
+
+    def raised(r: Column) -> Column:
+        both, one, d, c = r["even"] & r["fading"], r["even"] | r["fading"], r["d"], r["c"]
+        conf = (
+            F.when(both & d.isNull(), F.least(F.lit(0.40), 0.20 + (2 - r["var"]) * 0.05 + (r["decay"] - 1) * 0.05)).when(both & (d == "YELLOW"), F.least(F.lit(0.65), c + 0.15))
+            .when(both, F.least(F.lit(0.80), c + 0.10)).when(one & d.isNotNull(), F.least(c + 0.05, F.lit(0.70))).otherwise(c)
+        )
+        det = F.when(both & d.isNull(), "YELLOW").when(both & (d == "YELLOW"), "AMBER").otherwise(d)
+        return F.struct(*[r[x].alias(x) for x in ("ppl", "var", "n", "z", "decay")], det.alias("d"), conf.alias("c"))
+
+    def squeezed(r: Column) -> Column:
+        z = r["ppl"] * r["z"]
+        tight, d = (z < 8.0) & (r["n"] >= 30), r["d"]
+        conf = F.when(tight & d.isNull(), F.least(F.lit(0.35), 0.15 + (8 - z) * 0.02)).when(tight, F.least(r["c"] + 0.05, F.lit(0.80))).otherwise(r["c"])
+        return F.struct(
+            F.round(r["ppl"], 2).alias("perplexity"), F.when(tight & d.isNull(), "YELLOW").otherwise(d).alias("determination"), F.round(conf, 4).alias("confidence"),
+            F.round(r["var"], 4).alias("surprisal_variance"), F.round(r["decay"], 4).alias("volatility_decay_ratio"), F.round(z, 2).alias("zlib_normalized_ppl"),
+            F.round(r["z"] / F.greatest(r["ppl"] / 100, F.lit(0.01)), 4).alias("comp_ppl_ratio"),
+        )
+
+    out = F.struct(xs.alias("x"), comp_ratio.alias("z"))
+    for step in (of, banded, raised, squeezed):
+        out = text.bound(out, step)
+    return out
+
+
+def burstiness(sentence_losses: Column) -> Column:
+    """Sample variance of the mean losses of a text's sentences (arrays of losses); 0 below three sentences."""
+    means = F.transform(F.filter(sentence_losses, lambda s: F.size(s) > 0), text.mean)
+    return text.bound(means, lambda m: F.when(F.size(m) >= 3, F.round(F.pow(text.stdev(m), 2), 4)).otherwise(0.0))
+
+
+def cohesiveness(distances: Column) -> Column:
+    """Verdict of how far a text's vector moves when words are deleted; ``distances`` has one value per deletion round."""
+
+    def of(x: Column) -> Column:
+        mean, spread = F.when(F.size(x) > 0, text.mean(x)).otherwise(0.0), F.coalesce(text.stdev(x), F.lit(0.0))
+        det = F.when((mean >= 0.020) & (spread < 0.010), "AMBER").when(mean >= 0.012, "YELLOW")
+        conf = F.when(det == "AMBER", F.least(F.lit(0.60), 0.30 + mean * 10)).when(det == "YELLOW", F.least(F.lit(0.35), 0.15 + mean * 8)).otherwise(0.0)
+        return F.struct(F.round(mean, 6).alias("cohesiveness"), F.round(spread, 6).alias("cohesiveness_std"), F.size(x).alias("n_rounds"), det.alias("determination"), F.round(conf, 4).alias("confidence"))
+
+    return text.bound(distances, of)
+
+
 def binoculars(perplexity: Column, observer: Column) -> Column:
     ratio = perplexity / F.greatest(observer, F.lit(1e-6))
     return F.struct(F.round(ratio, 4).alias("score"), F.when(ratio < 0.70, "AMBER").when(ratio < 0.85, "YELLOW").alias("determination"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import lexicon, tables, text
 from inkstone.operators import cohort, continuations, fusion, memory, models, pair_analysis, sequences, similarity
-from inkstone.queries import _FL, _LAB, _SHINGLES, _T, _labelled, _q, _shingled, _texts, _user_series, changepoint_sql, query
+from inkstone import reports
+from inkstone.functions import sql as names
+from inkstone.queries import _F1, _FL, _LAB, _SHINGLES, _T, _labelled, _q, _scored, _shingled, _texts, _user_series, changepoint_sql, query
 from inkstone.session import materialize, spread, table
 
 _FEATURES = ["prompt_signature_composite", "instruction_density_idi", "voice_dissonance_vsd", "self_similarity_nssi_score"]
@@ -271,3 +273,76 @@ def centroid_clusters(spark, d):
     k = max(1, min(5, sizes.get("ai", 0) // 20, sizes.get("human", 0) // 20))
     found = [(side, i, c) for side in sizes for i, c in enumerate(models.cluster_centroids(rows.where(F.col("side") == side), "embedding", k))]
     return spark.createDataFrame(found, "side string, cluster int, centroid array<double>")
+
+
+# Losses, continuations, reports --------------------------------------------------------------------
+
+
+_V = lambda c: f"var_pop(v) FILTER ({c})"
+
+
+@query(f"""WITH x AS (SELECT user_id, value / 50 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL),
+a AS (SELECT user_id, n, exp(avg(v)) AS ppl, CASE WHEN n >= 10 THEN var_pop(v) ELSE 0 END AS sv, CASE WHEN n // 2 > 1 THEN {_V('i < n // 2')} ELSE var_pop(v) END AS f, CASE WHEN n - n // 2 > 1 THEN {_V('i >= n // 2')} ELSE var_pop(v) END AS s FROM x GROUP BY user_id, n),
+b AS (SELECT *, CASE WHEN n >= 10 THEN CASE WHEN s > 1e-6 THEN f / s ELSE 1 END ELSE 0 END AS dec, CASE WHEN ppl <= 15 THEN 'AMBER' WHEN ppl <= 25 THEN 'YELLOW' END AS d, CASE WHEN ppl <= 15 THEN least(.65::DOUBLE, (20 - ppl) / 20) WHEN ppl <= 25 THEN least(.35::DOUBLE, (30 - ppl) / 30) ELSE 0 END AS c FROM a),
+e AS (SELECT *, sv < 2 AND n >= 30 AS ev, dec > 1.5 AND n >= 40 AS fa FROM b),
+r AS (SELECT user_id, n, ppl, sv, dec, CASE WHEN ev AND fa AND d IS NULL THEN 'YELLOW' WHEN ev AND fa AND d = 'YELLOW' THEN 'AMBER' ELSE d END AS d, CASE WHEN ev AND fa AND d IS NULL THEN least(.4::DOUBLE, .2::DOUBLE + (2 - sv) * .05::DOUBLE + (dec - 1) * .05::DOUBLE) WHEN ev AND fa AND d = 'YELLOW' THEN least(.65::DOUBLE, c + .15::DOUBLE)
+ WHEN ev AND fa THEN least(.8::DOUBLE, c + .1::DOUBLE) WHEN (ev OR fa) AND d IS NOT NULL THEN least(c + .05::DOUBLE, .7::DOUBLE) ELSE c END AS c FROM e)
+SELECT user_id, round(ppl, 2) AS perplexity, CASE WHEN ppl * .4 < 8 AND n >= 30 AND d IS NULL THEN 'YELLOW' ELSE d END AS determination, round(CASE WHEN ppl * .4 < 8 AND n >= 30 THEN CASE WHEN d IS NULL THEN least(.35::DOUBLE, .15::DOUBLE + (8 - ppl * .4::DOUBLE) * .02::DOUBLE) ELSE least(c + .05::DOUBLE, .8::DOUBLE) END ELSE c END, 4) AS confidence,
+ round(sv, 4) AS surprisal_variance, round(dec, 4) AS volatility_decay_ratio, round(ppl * .4::DOUBLE, 2) AS zlib_normalized_ppl, round(.4::DOUBLE / greatest(ppl / 100, .01), 4) AS comp_ppl_ratio FROM r""")
+def perplexity_verdicts(spark, d):
+    """Verdicts of given losses, here the values of each user's events over fifty, and a compression ratio of 0.4."""
+    s = sequences.series(table(spark, d, "events").withColumn("loss", F.col("value") / 50), "user_id", ["ts", "event_id"], "loss")
+    return s.select("user_id", sequences.perplexity(F.col("xs"), F.lit(0.4)).alias("p")).select("user_id", "p.*")
+
+
+@query("""WITH x AS (SELECT user_id, abs(value) / 5000 AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL), a AS (SELECT user_id, count(*) AS n, avg(v) AS m, coalesce(stddev_samp(v), 0) AS s FROM x WHERE i <= 10 GROUP BY user_id)
+SELECT user_id, round(m, 6) AS cohesiveness, round(s, 6) AS cohesiveness_std, CAST(n AS INT) AS n_rounds, CASE WHEN m >= .02 AND s < .01 THEN 'AMBER' WHEN m >= .012 THEN 'YELLOW' END AS determination,
+ round(CASE WHEN m >= .02 AND s < .01 THEN least(.6::DOUBLE, .3::DOUBLE + m * 10) WHEN m >= .012 THEN least(.35::DOUBLE, .15::DOUBLE + m * 8) ELSE 0 END, 4) AS confidence FROM a""")
+def cohesiveness_verdicts(spark, d):
+    """Verdicts of given distances, one per deletion round: here each user's first ten values, scaled."""
+    s = sequences.series(table(spark, d, "events").withColumn("far", F.abs("value") / 5000), "user_id", ["ts", "event_id"], "far")
+    return s.select("user_id", sequences.cohesiveness(F.slice("xs", 1, 10)).alias("c")).select("user_id", "c.*")
+
+
+_CUT = f"WITH {_T}, w AS (SELECT row_idx, regexp_extract_all(t, '[^{_BLANKS}]+') AS w FROM t), q AS (SELECT row_idx, ratio, CAST(floor(len(w) * ratio) AS INT) AS cut, w FROM w, (VALUES (0.3::DOUBLE), (0.5), (0.7)) v(ratio) WHERE len(w) >= 150)"
+
+
+@query(f"""{_CUT}, s AS (SELECT row_idx, ratio, list_transform(w[cut + 1:], lambda x: lower(x)) AS a, list_transform(w[:cut], lambda x: lower(x))[:CAST(floor((len(w) - cut) * 1.5) AS INT)] AS b FROM q WHERE len(w) - cut >= 30 AND cut >= 10),
+b AS (SELECT row_idx, ratio, round(0.25 * {_F1(2)} + 0.5 * {_F1(3)} + 0.25 * {_F1(4)}, 4) AS m FROM s),
+g AS (SELECT row_idx, arg_min(m, CASE WHEN ratio = .5 THEN 0 ELSE ratio END) AS m, count(*) AS cuts, avg(m) AS mean, CASE WHEN count(*) >= 2 THEN greatest(1 - var_samp(m) / .02, 0) ELSE 0 END AS st FROM b GROUP BY row_idx),
+v AS (SELECT *, CASE WHEN m >= .22 THEN 'RED' WHEN m >= .12 THEN 'AMBER' WHEN m >= .08 THEN 'YELLOW' ELSE 'GREEN' END AS d FROM g),
+c AS (SELECT *, round(CASE d WHEN 'RED' THEN least(.6::DOUBLE + m, .9::DOUBLE) WHEN 'AMBER' THEN least(.4::DOUBLE + m, .7::DOUBLE) WHEN 'YELLOW' THEN least(.2::DOUBLE + m, .4::DOUBLE) ELSE greatest(.1::DOUBLE - m, 0) END, 4) AS c FROM v)
+SELECT row_idx, m AS bscore, m AS bscore_max, d AS determination, CASE WHEN st >= .75 AND mean >= .15 THEN round(least(c + .1::DOUBLE, 1), 4) ELSE c END AS confidence, round(st, 4) AS stability, cuts FROM c""")
+def regeneration_scores(spark, d):
+    """Batch continuation with responses given as a table: here each text's own beginning is what was answered."""
+    asked = materialize(continuations.requests(spread(_texts(spark, d)), "row_idx", "t", samples=1), "requests")
+    responses = asked.select("custom_id", F.col("prefix").alias("text"))
+    return continuations.score_responses(asked, responses, "row_idx")
+
+
+@query()
+def report_pages(spark, d):
+    """The HTML page of every scored row."""
+    rows = table(spark, d, "tasks").select("row_idx", "prompt")
+    return reports.single(_scored(spark, d).join(rows.withColumnRenamed("prompt", "raw"), "row_idx"), "row_idx", "raw")
+
+
+@query()
+def console_lines(spark, d):
+    return reports.console(_scored(spark, d), "row_idx")
+
+
+@query(f"""SELECT batch_id, count(*) AS n, count(*) FILTER ({_FL}) AS flagged FROM submissions GROUP BY 1""")
+def sql_functions(spark, d):
+    """The registered names used from SQL."""
+    names.register(spark)
+    table(spark, d, "submissions").createOrReplaceTempView("ink_submissions")
+    return spark.sql("SELECT batch_id, count(*) AS n, count_if(ink_is_flagged(determination)) AS flagged FROM ink_submissions GROUP BY batch_id")
+
+
+@query(f"""SELECT determination, ground_truth, count(*) AS n FROM (SELECT CASE WHEN calibrated_confidence >= .85 THEN 'RED' WHEN calibrated_confidence >= .65 THEN 'AMBER' WHEN calibrated_confidence >= .4 THEN 'YELLOW' WHEN calibrated_confidence >= .15 THEN 'REVIEW' ELSE 'GREEN' END AS determination,
+ ground_truth FROM results JOIN confirmed USING (task_id) WHERE calibrated_confidence BETWEEN 0 AND 1) GROUP BY ALL""")
+def model_verdicts(spark, d):
+    """Verdicts that a probability gives by itself, against the confirmed truth."""
+    p = table(spark, d, "results").where("calibrated_confidence between 0 and 1").select("task_id", models.ml_determination(F.col("calibrated_confidence")).alias("determination"))
+    return p.join(table(spark, d, "confirmed").select("task_id", "ground_truth"), "task_id").groupBy("determination", "ground_truth").agg(F.count(F.lit(1)).alias("n"))

@@ -126,3 +126,39 @@ def write_results(df: DataFrame, path: str) -> None:
     """Scored rows as CSV; nested columns become JSON."""
     flat = [F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in df.dtypes]
     df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_flagged_results(df: DataFrame, pairs: DataFrame, key: str, path: str) -> None:
+    """Scored rows as CSV with ``similarity_flags``: each row's partners with their flags (pairs: key_a, key_b, flags)."""
+    ways = F.array(F.struct(F.col(f"{key}_a").alias("k"), F.col(f"{key}_b").alias("o"), "flags"), F.struct(F.col(f"{key}_b").alias("k"), F.col(f"{key}_a").alias("o"), "flags"))
+    sides = pairs.select(F.explode(ways).alias("x")).select("x.*")
+    label = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("o").cast("string"), F.array_join("flags", "+")))), "; ")
+    labels = sides.groupBy(F.col("k").alias(key)).agg(label.alias("similarity_flags"))
+    write_results(df.join(labels, key, "left").withColumn("similarity_flags", F.coalesce("similarity_flags", F.lit(""))), path)
+
+
+def append_baselines(df: DataFrame, path: str, batch: str) -> None:
+    """Scored rows as JSON lines for baselines; a batch written twice is there once."""
+    df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(path)
+
+
+def write_candidates(found: DataFrame, path: str) -> None:
+    """Vocabulary candidates as one CSV in order of their log odds: a short list by its threshold."""
+    found.orderBy(F.col("log_odds").desc(), "token").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_fairness_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(text, ground_truth, proficiency_level) of JSON lines; rows without a text are dropped, levels may be null."""
+    rows = spark.read.schema("text string, ground_truth string, proficiency_level string").option("mode", "DROPMALFORMED").json(path)
+    return rows.where("text != ''")
+
+
+def run_directory(root: str, name: str, started: str) -> dict[str, str]:
+    """Paths of one run under a root: results, reports, log of parameters; ``started`` is written as given."""
+    base = f"{root.rstrip('/')}/{name}_{started}"
+    return {"base": base, "results": f"{base}/results", "reports": f"{base}/reports", "parameters": f"{base}/parameters"}
+
+
+def write_parameters(spark: SparkSession, paths: dict[str, str], parameters: dict[str, str]) -> None:
+    rows = [(k, str(v)) for k, v in sorted(parameters.items())]
+    spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(paths["parameters"])

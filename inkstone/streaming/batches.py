@@ -29,6 +29,19 @@ def without_repeats(submissions: DataFrame, key: str, at: str, late: str = "1 da
     return submissions.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
+def rolling_profiles(store: Store, features: list[str] = ()) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: records a micro-batch of scored submissions and brings the authors' profiles up to date.
+
+    Safe to repeat: a batch is recorded under its number, and profiles are aggregates of what is recorded.
+    """
+
+    def run(batch: DataFrame, batch_number: int) -> None:
+        store.record_batch("submissions", batch, f"stream_{batch_number:012d}")
+        store.rebuild_profiles(features)
+
+    return run
+
+
 def against_history(store: Store, signature: str = "minhash") -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: compares a micro-batch with all earlier ones, then appends it. Safe to repeat."""
 
