@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import random
 import re
@@ -107,38 +108,54 @@ class BackoffModel:
                 self.next[tuple(padded[at - n : at])][padded[at]] += 1
         self.vocabulary = len(set(tokens)) + 1
         self.sums = {k: sum(c.values()) for k, c in self.next.items()}
-        self.draws: dict[tuple[str, ...], tuple[list[str], list[int]]] = {}
+        self.draws: dict[tuple[str, ...], tuple] = {}
+        self.moves: dict[tuple[tuple[str, ...], str], tuple[str, ...]] = {}
 
     def _context(self, history: list[str]) -> tuple[str, ...]:
-        for n in range(self.order - 1, -1, -1):
+        for n in range(min(self.order - 1, len(history)), -1, -1):
             key = tuple(history[len(history) - n :])
             if key in self.next:
                 return key
         return ()
 
+    def _after(self, key: tuple[str, ...], token: str) -> tuple[str, ...]:
+        """The context that follows when a token is appended: a suffix of the one before it and the token.
+
+        No longer context can follow: without its last token it would have been known before.
+        """
+        move = (key, token)
+        found = self.moves.get(move)
+        if found is None:
+            found = self.moves[move] = self._context([*key, token])
+        return found
+
+    def _state(self, key: tuple[str, ...]) -> tuple:
+        """(context, tokens that follow, running sums of their counts, states after each, None until they are met)."""
+        found = self.draws.get(key)
+        if found is None:
+            counts = self.next[key]
+            found = self.draws[key] = key, list(counts), list(itertools.accumulate(counts.values())), [None] * len(counts)
+        return found
+
     def sample(self, history: list[str], length: int, rng: random.Random) -> list[str]:
-        run = list(history)
+        out: list[str] = []
+        state, dice, find = self._state(self._context(history[-self.order :])), rng.random, bisect.bisect_right
         for _ in range(length):
-            key = self._context(run)
-            if key not in self.draws:
-                names, sums, total = [], [], 0
-                for token, c in self.next[key].items():
-                    total += c
-                    names.append(token)
-                    sums.append(total)
-                self.draws[key] = names, sums
-            names, sums = self.draws[key]
+            key, names, sums, following = state
             if not names:
                 break
-            run.append(names[bisect.bisect_right(sums, rng.random() * sums[-1])])
-        return run[len(history) :]
+            i = find(sums, dice() * sums[-1])
+            out.append(names[i])
+            state = following[i]
+            if state is None:
+                state = following[i] = self._state(self._after(key, names[i]))
+        return out
 
     def surprisal(self, history: list[str], tokens: list[str]) -> float:
-        run, total = ["<s>"] * (self.order - 1) + history, 0.0
+        key, total = self._context((["<s>"] * (self.order - 1) + history[-self.order :])[-self.order :]), 0.0
         for t in tokens:
-            key = self._context(run)
             total -= math.log((self.next[key][t] + self.alpha) / (self.sums.get(key, 0) + self.alpha * self.vocabulary))
-            run.append(t)
+            key = self._after(key, t)
         return total / max(1, len(tokens))
 
 
@@ -147,14 +164,17 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def _grams(tokens: list[str], n: int) -> set[tuple[str, ...]]:
-    return {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)}
+    return set(zip(*(tokens[i:] for i in range(n))))
+
+
+def _gram_sets(tokens: list[str]) -> list[set[tuple[str, ...]]]:
+    return [_grams(tokens, n) for n in (2, 3, 4)]
 
 
-def overlap_score(a: list[str], b: list[str]) -> float:
-    """Weighted F1 of shared 2-, 3- and 4-grams."""
+def overlap_score(a: list[str], b: list[str], of_a: list[set[tuple[str, ...]]] | None = None) -> float:
+    """Weighted F1 of shared 2-, 3- and 4-grams; ``of_a`` are those of ``a``, where they are known."""
     score = 0.0
-    for n, w in ((2, 0.25), (3, 0.50), (4, 0.25)):
-        x, y = _grams(a, n), _grams(b, n)
+    for x, y, w in zip(of_a or _gram_sets(a), _gram_sets(b), (0.25, 0.50, 0.25)):
         if x and y and (shared := len(x & y)):
             p, r = shared / len(y), shared / len(x)
             score += w * 2 * p * r / (p + r)
@@ -213,7 +233,8 @@ def _one_cut(text: str, tokens: list[str], segments: tuple[float, float, int], r
         return None
     model, rng = BackoffModel(before, order), random.Random(42)
     drawn = [model.sample(before, len(after), rng) for _ in range(samples)]
-    scores = [round(overlap_score(after, d), 4) for d in drawn if len(d) >= 10] or [0.0]
+    own = _gram_sets(after)
+    scores = [round(overlap_score(after, d, own), 4) for d in drawn if len(d) >= 10] or [0.0]
     distance = ncd(head, tail)
     weight = shared = 0.0
     for n in (3, 4):
