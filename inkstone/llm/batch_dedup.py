@@ -111,7 +111,14 @@ def neighbour_candidates(nodes: DataFrame, batches: int, graph_nodes: int = GRAP
     units = sum(parts.values())
     graphs = materialize(placed.repartition(units, "graph").groupBy("graph").applyInArrow(_build, "graph string, payload binary"), "graphs")
     asked = nodes.join(F.broadcast(asks), "last").select(_graph_of(F.col("level"), F.col("number"), F.col("part")).alias("graph"), "cid", "vec", "mh")
-    return search_graphs(materialize(asked, "asked"), graphs)
+    # How many queries each graph gets follows from the rows per batch, so the queries need not be written to be counted.
+    per_last = {r["last"]: r["n"] for r in nodes.groupBy("last").agg(F.count(F.lit(1)).alias("n")).collect()}
+    load: dict[str, int] = {}
+    for b in range(batches):
+        for lv, k in segments_before(b):
+            for p in range(parts.get((lv, k), 0)):
+                load[f"{lv}/{k}/{p}"] = load.get(f"{lv}/{k}/{p}", 0) + per_last.get(b, 0)
+    return search_graphs(asked, graphs, load)
 
 
 def _build(table: pa.Table) -> pa.Table:
@@ -129,15 +136,15 @@ def _search(asking: pa.Table, stored: pa.Table) -> pa.Table:
     return pa.table({"q": pa.array(found_q, pa.int64()), "x": pa.array(found_x, pa.int64())})
 
 
-def search_graphs(asked: DataFrame, graphs: DataFrame) -> DataFrame:
+def search_graphs(asked: DataFrame, graphs: DataFrame, queries_of: dict[str, int]) -> DataFrame:
     """(cid_a < cid_b) of queries (graph, cid, vec, mh) and the nodes close to them in stored graphs (graph, payload).
 
-    The queries of a graph are cut into blocks of equal size, each of which meets the graph in a task of its own.
+    The queries of a graph, of which ``queries_of`` gives the number, are cut into blocks of equal size, each of which
+    meets the graph in a task of its own.
     """
     spark = asked.sparkSession
-    blocks = asked.groupBy("graph").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("blocks"))
     # One row per graph.
-    load = {r["graph"]: r["blocks"] for r in blocks.collect()}
+    load = {g: -(-n // QUERY_ROWS) for g, n in queries_of.items() if n}
     sized = spark.createDataFrame(list(load.items()) or [("", 1)], "graph string, blocks int")
     queries = asked.join(F.broadcast(sized), "graph").select("graph", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "cid", "vec", "mh")
     copies = graphs.join(F.broadcast(sized), "graph").select("graph", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "payload")

@@ -123,9 +123,10 @@ class History:
         if not shards:
             return self.spark.createDataFrame([], "q bigint, x bigint")
         graphs = self.spark.read.schema(_GRAPHS).parquet(*[f"{self.root}/shards/{s}" for s in shards])
-        # One row per stored graph.
+        # One row per stored graph, each of which is asked every node of the batch.
         asked = nodes.join(F.broadcast(graphs.select("graph")), F.lit(True)).select("graph", "cid", "vec", "mh")
-        candidates = materialize(search_graphs(materialize(asked, "asked"), graphs), "candidates")
+        count = nodes.count()
+        candidates = materialize(search_graphs(asked, graphs, {r["graph"]: count for r in graphs.select("graph").collect()}), "candidates")
         stored = self._read("sets", _SETS, but=f"batch={name}").join(candidates.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct(), "cid", "left_semi")
         mine = sets.select(F.col("cid"), "n", "sh")
         good = verify(candidates, stored.unionByName(mine), threshold).select("cid_a", "cid_b")
