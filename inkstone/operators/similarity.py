@@ -26,19 +26,24 @@ PIECE = 512
 def jaccard_pairs(rows: DataFrame, key: str, group: str, items: str, threshold: float) -> DataFrame:
     """(key_a < key_b, group, jaccard) of rows of one group whose item sets reach the threshold."""
     t = F.lit(threshold)
-    sets = materialize(rows.select(F.col(key).alias("k"), F.col(group).alias("g"), F.array_distinct(items).alias("s")).where(F.size("s") > 0), "sets")
-    tokens = sets.select("k", "g", F.size("s").alias("n"), F.explode("s").alias("x")).select("k", "g", "n", F.xxhash64("g", "x").alias("h"))
+    # Items are kept as 64-bit hashes seeded with their group, so neither strings nor groups are compared again.
+    hashed = rows.where(F.col(group).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(items).alias("x")).select("k", "g", F.array_distinct(F.transform("x", lambda x: F.xxhash64("g", x))).alias("s"))
+    sets = materialize(hashed, "sets").where(F.size("s") > 0)
+    tokens = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("h"))
     shared = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ordered = tokens.join(shared, "h").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
     # Unshared items fill the front of the prefix, so only what is left of it must be indexed.
     reach = F.col("n") - F.ceil(t * F.col("n") - F.lit(1e-9)) + 1 - (F.col("n") - F.size("o"))
-    posted = materialize(ordered.withColumn("p", reach.cast("int")).where("p > 0").select("k", "n", F.explode(F.slice("o", 1, F.col("p"))).alias("o")).select("k", "n", "o.h"), "posted")
-    a, b = posted.select("h", F.col("k").alias("ka"), F.col("n").alias("na")), posted.select("h", F.col("k").alias("kb"), F.col("n").alias("nb"))
-    met = a.join(b, "h").where("ka < kb").where(F.least("na", "nb") + F.lit(1e-9) >= t * F.greatest("na", "nb")).select("ka", "kb").distinct()
+    front = ordered.withColumn("p", reach.cast("int")).where("p > 0").select("k", "n", (F.col("n") - F.size("o")).alias("skip"), F.posexplode(F.slice("o", 1, F.col("p"))).alias("at", "o"))
+    posted = materialize(front.select("k", "n", (F.col("skip") + F.col("at")).alias("at"), "o.h"), "posted")
+    a, b = (posted.select("h", *[F.col(c).alias(f"{c}{p}") for c in ("k", "n", "at")]) for p in "ab")
+    # From the place of a shared item on, enough items must be left to reach the threshold.
+    enough = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-9))
+    met = a.join(b, "h").where("ka < kb").where(enough & (F.least("na", "nb") + F.lit(1e-9) >= t * F.greatest("na", "nb"))).select("ka", "kb").distinct()
     left = sets.select(F.col("k").alias("ka"), "g", F.col("s").alias("sa"))
-    right = sets.select(F.col("k").alias("kb"), F.col("g").alias("gb"), F.col("s").alias("sb"))
+    right = sets.select(F.col("k").alias("kb"), F.col("s").alias("sb"))
     j = text.jaccard(F.col("sa"), F.col("sb"))
-    out = met.join(left, "ka").join(right, "kb").where("g = gb").select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"), F.col("g").alias(group), j.alias("jaccard"))
+    out = met.join(left, "ka").join(right, "kb").select(F.col("ka").alias(f"{key}_a"), F.col("kb").alias(f"{key}_b"), F.col("g").alias(group), j.alias("jaccard"))
     return out.where(F.col("jaccard") + F.lit(1e-12) >= t)
 
 
