@@ -43,3 +43,9 @@ def test_classes_count_writings_and_copies(spark):
     got = text_forms.look_alike_classes(spark.createDataFrame(rows, "row_idx long, t string"), "row_idx", "t").collect()
     assert {tuple(r) for r in got} == {(1, 1, 2, 3), (2, 1, 2, 3), (3, 1, 2, 3)}
     assert text_forms.folded_form("Stra\u00dfe") == "strasse" and text_forms.folded_form(None) is None
+
+
+def test_lunate_sigma_looks_like_c():
+    assert consistent_form("Cµ") == consistent_form(consistent_form("Cµ"))
+    assert consistent_form("ϲat Ϲat") == "cat Cat"
+    assert consistent_form("ıҼ") == consistent_form(consistent_form("ıҼ"))
