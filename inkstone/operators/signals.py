@@ -153,7 +153,7 @@ def instruction_density(t: Column) -> Column:
 
 def lexicon_packs(t: Column) -> Column:
     """One struct per pack: raw, upper-case and weighted hits."""
-    return F.struct(*[lexicon.pack_struct(t, n) for n in lexicon.PACKS])
+    return regex.searched(t, lambda s: F.struct(*[lexicon.pack_struct(s, n) for n in lexicon.PACKS]))
 
 
 def enhanced(signature: Column, voice: Column, density: Column, packs: Column, sentence_count: Column, words: Column) -> Column:

@@ -74,3 +74,26 @@ def test_continuation_of_short_and_repetitive_text():
 def test_spans_are_code_points():
     spans = residue_python.find_spans("😀 we delve MUST")
     assert [(s["start"], s["end"]) for s in spans if s["source"] == "fingerprint"] == [(5, 10)]
+
+
+def test_draws_are_those_of_one_generator_per_cut():
+    """The draws with what must follow taken at once, against one draw for each token."""
+    import bisect
+    import itertools
+    import random
+
+    words = "a b a b c a b d the end of a b c the end . a a a a b".split() * 3
+    model, rng, dice = residue_python.BackoffModel(words, 5), random.Random(42), residue_python._dice(16 * 50)
+    used = 0
+    for _ in range(16):
+        want, key = [], model._context(words[-5:])
+        for _ in range(50):
+            counts = model.next[key]
+            sums = list(itertools.accumulate(counts.values()))
+            want.append(list(counts)[bisect.bisect_right(sums, rng.random() * sums[-1])])
+            key = model._after(key, want[-1])
+        got = model.sample(words, 50, dice, used)
+        used += len(got)
+        assert got == want
+    empty = residue_python.BackoffModel([], 5)
+    assert empty.sample([], 10, dice) == [] and residue_python._dice(1 << 17)[:99].tolist() == dice[:99]
