@@ -112,6 +112,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
 
 
+def item_bits(hashes: Column, words: int = 8) -> Column:
+    """A set of 64-bit hashes as a bitmap of so many 64-bit words."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    bit = lambda x, w: F.when(F.pmod(F.shiftright(x, 6), F.lit(words)) == w, F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(zero)
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda w: F.aggregate(hashes, zero, lambda bits, x: bits.bitwiseOR(bit(x, w))))
+
+
+def may_share(a: Column, b: Column, size_a: Column, size_b: Column, threshold: float) -> Column:
+    """Whether the bitmaps of two sets leave room for a Jaccard similarity: a bit of one that the other lacks is an item not shared."""
+    lacking = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, n: s + n)
+    return F.least(size_a - lacking(a, b), size_b - lacking(b, a)) + F.lit(1e-9) >= F.lit(threshold / (1 + threshold)) * (size_a + size_b)
+
+
 def mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x, lambda s: s / F.size(values))
 

@@ -40,6 +40,11 @@ def jaccard_pairs(rows: DataFrame, key: str, group: str, items: str, threshold:
     # From the place of a shared item on, enough items must be left to reach the threshold.
     enough = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-9))
     met = a.join(b, "h").where("ka < kb").where(enough & (F.least("na", "nb") + F.lit(1e-9) >= t * F.greatest("na", "nb"))).select("ka", "kb").distinct()
+    # Most candidates fall by bitmaps, so that whole sets are shuffled for the few that are left only.
+    bits = materialize(sets.select("k", F.size("s").alias("n"), text.item_bits(F.col("s")).alias("bits")), "bits")
+    for p in "ab":
+        met = met.join(bits.select(*[F.col(c).alias(f"{c}{p}") for c in ("k", "n", "bits")]), f"k{p}")
+    met = materialize(met.where(text.may_share(F.col("bitsa"), F.col("bitsb"), F.col("na"), F.col("nb"), threshold)).select("ka", "kb"), "met")
     left = sets.select(F.col("k").alias("ka"), "g", F.col("s").alias("sa"))
     right = sets.select(F.col("k").alias("kb"), F.col("s").alias("sb"))
     j = text.jaccard(F.col("sa"), F.col("sb"))

@@ -26,3 +26,20 @@ def test_cross_batch_takes_batches_from_the_table(spark, tmp_path):
     spark.createDataFrame(named, "row_idx bigint, batch_id string").write.parquet(str(tmp_path / "fingerprints.parquet"))
     got = {(r[0], r[1]) for r in queries.QUERIES["cross_batch"](spark, str(tmp_path)).collect()}
     assert got == {(3, 1), (2, 1), (4, 1), (2, 3), (4, 3)}
+
+
+def test_bitmaps_leave_every_pair_that_reaches_the_threshold(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from inkstone.functions import text
+
+    rng = random.Random(3)
+    items = [rng.getrandbits(64) - (1 << 63) for _ in range(400)]
+    sets = [[], items[:1], items, items[:300]] + [rng.sample(items[:n], n * 2 // 3) for n in (6, 60, 90, 150)] + [rng.sample(items[:60], 40) for _ in range(6)] + [items[380:]]
+    rows = [(a, b) for a in sets for b in sets]
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select("*", F.size("a").alias("n"), F.size("b").alias("m"))
+    both = df.select("a", "b", *[text.may_share(text.item_bits(F.col("a"), w), text.item_bits(F.col("b"), w), F.col("n"), F.col("m"), 0.5).alias(f"w{w}") for w in (1, 8)]).collect()
+    close = lambda r: len({*r["a"]} & {*r["b"]}) >= 0.5 * len({*r["a"]} | {*r["b"]})
+    assert all(r["w1"] and r["w8"] for r in both if close(r)) and sum(not r["w8"] for r in both) > len(both) // 4
