@@ -10,6 +10,9 @@ shingles are found without comparing every record with every other:
    size and position bounds;
 4. surviving group pairs expand to class pairs, which are verified on their whole shingle sets.
 
+Shingles are never rows of their own: hashed words are kept in chunks of rows, and what is shuffled is packed
+(``packed_join``). Only classes that may reach the threshold by bitmaps of their sets have whole sets shuffled.
+
 The result is exact. Rare-first order keeps boilerplate out of the prefixes, so a shingle found in a
 third of all records is never a join key of more than the few classes whose prefix reaches it; the joins
 leave the remaining skew to adaptive execution. Nothing is broadcast by hint, collected or capped.
@@ -23,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.shingling import SHINGLED, shingled_batches
+from inkstone.functions.text import may_share
+from inkstone.llm import packed_join
 from inkstone.session import materialize
 
 
@@ -47,18 +51,18 @@ def at_least(shared: Column, size_a: Column, size_b: Column, threshold: float) -
     return shared + F.lit(1e-9) >= F.lit(threshold) * (size_a + size_b - shared)
 
 
-def shingle_classes(rows: DataFrame, id_col: str, words_col: str, block_col: str | None, width: int) -> tuple[DataFrame, DataFrame]:
-    """(members: id, cid), (classes: cid, n, sh): classes are the distinct shingle sets within a block.
+def shingle_classes(rows: DataFrame, id_col: str, words_col: str, block_col: str | None, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: id, cid), (heads: chunk, id, s1, s2), chunks: classes are the distinct shingle sets within a block.
 
-    ``words_col`` holds arrays of words, or texts, which are brought to their consistent form.
+    ``words_col`` holds arrays of words, or texts, which are brought to their consistent form. Only hashed words
+    are kept, in chunks of rows; a class's shingles are made again from those of its head.
     """
     seed = F.xxhash64(F.coalesce(F.col(block_col).cast("string"), F.lit("\0null"))) if block_col else F.lit(0).cast("bigint")
     given = rows.select(F.col(id_col).cast("bigint").alias("id"), seed.alias("seed"), F.col(words_col).alias("w"))
-    shingled = materialize(given.where("id is not null and w is not null").mapInArrow(shingled_batches(width), SHINGLED), "shingled")
-    members, heads = signed_members(shingled.select("id", "s1", "s2"))
-    same = (F.col("r.id") == F.col("h.id")) & (F.col("r.s1") == F.col("h.s1")) & (F.col("r.s2") == F.col("h.s2"))
-    classes = shingled.alias("r").join(heads.alias("h"), same, "left_semi").dropDuplicates(["id"])
-    return members, classes.select(F.col("id").alias("cid"), "n", "sh")
+    chunks = materialize(given.where("id is not null and w is not null").mapInArrow(packed_join.chunked_batches(width), packed_join.CHUNKED), "chunks")
+    signed = materialize(chunks.select("chunk", "ids", "s1", "s2").mapInArrow(packed_join.signed_rows, packed_join.SIGNED), "signed")
+    members, heads = signed_members(signed.select("id", "s1", "s2"))
+    return members, materialize(heads.join(signed, ["id", "s1", "s2"]).groupBy("id", "s1", "s2").agg(F.min("chunk").alias("chunk")), "heads"), chunks
 
 
 def signature(shingle_set: Column) -> list[Column]:
@@ -74,44 +78,26 @@ def signed_members(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, cids.select(F.col("cid").alias("id"), "s1", "s2")
 
 
-def class_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+def class_pairs(heads: DataFrame, chunks: DataFrame, width: int, threshold: float) -> DataFrame:
     """(cid_a < cid_b, shared, n_a, n_b): all pairs of classes at or above the threshold."""
-    tokens = classes.select("cid", "n", F.explode("sh").alias("h"))
-    frequent = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    ranked = tokens.join(frequent, "h").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("ranked"))
-    # The prefix is n - ceil(t n) + 1 shingles long; the n - size(ranked) unshared ones come first in it.
-    reach = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1
-    unshared = F.col("n") - F.size("ranked")
-    prefixed = (
-        ranked.withColumn("skip", unshared)
-        .withColumn("keep", (reach - unshared).cast("int"))
-        .where("keep > 0")
-        .select("cid", "n", "skip", F.transform(F.slice("ranked", 1, F.col("keep")), lambda x: x["h"]).alias("prefix"))
-        .withColumn("gid", F.struct("n", "skip", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(7), "prefix").alias("p2")))
-    )
-    prefixed = materialize(prefixed.select("cid", "n", "skip", "prefix", F.xxhash64("gid").alias("gid")), "prefixed")
-    groups = prefixed.groupBy("gid").agg(F.min_by("prefix", "cid").alias("prefix"), F.min_by("n", "cid").alias("n"), F.min_by("skip", "cid").alias("skip"))
-    posted = groups.select("gid", "n", "skip", F.posexplode("prefix").alias("at", "h")).select("gid", "n", "h", (F.col("skip") + F.col("at")).alias("at"))
-    left = posted.select("h", *[F.col(c).alias(f"{c}_a") for c in ("gid", "n", "at")])
-    right = posted.select("h", *[F.col(c).alias(f"{c}_b") for c in ("gid", "n", "at")])
-    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-9))
-    reachable = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    # A group meets itself once, through its first prefix shingle, so that its members meet too.
-    group_pairs = (
-        left.join(right, "h")
-        .where("gid_a <= gid_b")
-        .where((reachable >= needed) & (F.lit(threshold) * F.greatest("n_a", "n_b") <= F.least("n_a", "n_b") + F.lit(1e-9)))
-        .select("gid_a", "gid_b")
-        .distinct()
-    )
-    of = prefixed.select("gid", "cid")
-    candidates = (
-        group_pairs.join(of.select(F.col("gid").alias("gid_a"), F.col("cid").alias("a")), "gid_a")
-        .join(of.select(F.col("gid").alias("gid_b"), F.col("cid").alias("b")), "gid_b")
-        .where("gid_a < gid_b or a < b")
-        .select(F.least("a", "b").alias("cid_a"), F.greatest("a", "b").alias("cid_b"))
-    )
-    return verify(candidates, classes, threshold)
+    ranges = max(12, -(-chunks.count() // 4))
+    asks = chunks.select("chunk", "s1", "s2", "seeds", "sizes", "vocabulary", "codes").mapInArrow(packed_join.asking(width, ranges), packed_join.MESSAGE)
+    replies = asks.groupBy("bucket").applyInArrow(packed_join.replying, packed_join.MESSAGE)
+    to_heads = lambda h: h.groupBy("chunk").applyInArrow(packed_join.heads_of_chunk, packed_join.MESSAGE)
+    told = replies.unionByName(to_heads(heads))
+    posted = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(packed_join.posting(width, threshold, ranges), packed_join.POSTED)
+    met = materialize(posted.groupBy("bucket").applyInArrow(packed_join.meeting(threshold), packed_join.MET), "met")
+    of = lambda p: met.where("kind = 0").select(F.col("x").alias(f"gid_{p}"), F.col("y").alias(p), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}"))
+    across = met.where("kind = 1").select(F.col("x").alias("gid_a"), F.col("y").alias("gid_b")).distinct().join(of("a"), "gid_a").join(of("b"), "gid_b")
+    # Groups of several classes meet themselves.
+    within = of("a").join(of("b"), F.col("gid_a") == F.col("gid_b")).where("a < b")
+    # Most candidates fall by bitmaps, so that whole sets are shuffled for the few that are left only.
+    near = lambda pairs: pairs.where(may_share(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), threshold)).select("a", "b")
+    candidates = near(across).unionByName(near(within)).select(F.least("a", "b").alias("cid_a"), F.greatest("a", "b").alias("cid_b"))
+    candidates = materialize(candidates, "candidates")
+    wanted = candidates.select(F.explode(F.array("cid_a", "cid_b")).alias("id")).distinct()
+    sets = chunks.groupBy("chunk").cogroup(to_heads(heads.join(wanted, "id", "left_semi")).groupBy("chunk")).applyInArrow(packed_join.sets_of(width), "cid bigint, n int, sh array<bigint>")
+    return verify(candidates, materialize(sets, "sets"), threshold)
 
 
 def verify(candidates: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -130,8 +116,8 @@ def near_duplicate_pairs(
     rows: DataFrame, id_col: str, words_col: str, block_col: str | None = None, width: int = 3, threshold: float = 0.5
 ) -> DataFrame:
     """(id_a < id_b): all pairs of records at or above the threshold, copies included."""
-    members, classes = shingle_classes(rows, id_col, words_col, block_col, width)
-    pairs = class_pairs(classes, threshold)
+    members, heads, chunks = shingle_classes(rows, id_col, words_col, block_col, width)
+    pairs = class_pairs(heads, chunks, width, threshold)
     in_a = members.select(F.col("cid").alias("cid_a"), F.col("id").alias("a"))
     in_b = members.select(F.col("cid").alias("cid_b"), F.col("id").alias("b"))
     across = pairs.select("cid_a", "cid_b").join(in_a, "cid_a").join(in_b, "cid_b").select("a", "b")
@@ -146,8 +132,8 @@ def near_duplicate_classes(
 
     Records without shingles have null class_id and zero counts.
     """
-    members, classes = shingle_classes(rows, id_col, words_col, block_col, width)
-    pairs = class_pairs(classes, threshold)
+    members, heads, chunks = shingle_classes(rows, id_col, words_col, block_col, width)
+    pairs = class_pairs(heads, chunks, width, threshold)
     ends = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid"))
     links = ends.groupBy("cid").agg(F.count(F.lit(1)).alias("linked_classes"))
     sizes = members.groupBy("cid").agg(F.count(F.lit(1)).alias("copies"))
