@@ -43,3 +43,13 @@ def test_bitmaps_leave_every_pair_that_reaches_the_threshold(spark):
     both = df.select("a", "b", *[text.may_share(text.item_bits(F.col("a"), w), text.item_bits(F.col("b"), w), F.col("n"), F.col("m"), 0.5).alias(f"w{w}") for w in (1, 8)]).collect()
     close = lambda r: len({*r["a"]} & {*r["b"]}) >= 0.5 * len({*r["a"]} | {*r["b"]})
     assert all(r["w1"] and r["w8"] for r in both if close(r)) and sum(not r["w8"] for r in both) > len(both) // 4
+
+
+def test_prefixes_in_array_code_are_those_of_md5():
+    import struct
+    from hashlib import md5
+
+    shingles = ["", "a b c", "é" * 25 + "x", "x" * 51, "x" * 52, "y" * 200, "one two three", "字 母 表"]
+    got = similarity._prefixes([x.encode() for x in shingles])
+    for x, row in zip(shingles, got.tolist()):
+        assert row == [int.from_bytes(md5(struct.pack(">I", k) + x.encode()).digest()[:4], "big") for k in range(similarity.HASHES)]
