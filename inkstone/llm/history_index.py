@@ -125,9 +125,8 @@ class History:
         graphs = self.spark.read.schema(_GRAPHS).parquet(*[f"{self.root}/shards/{s}" for s in shards])
         # One row per stored graph, each of which is asked every node of the batch.
         names = [r["graph"] for r in graphs.select("graph").collect()]
-        count = nodes.count()
-        asked = nodes.join(F.broadcast(self.spark.createDataFrame([(g,) for g in names], "graph string")), F.lit(True)).select("graph", "cid", "vec", "mh")
-        candidates = materialize(search_graphs(asked, graphs, dict.fromkeys(names, count)), "candidates")
+        asked = nodes.select(F.lit(0).alias("asker"), "cid", "vec", "mh")
+        candidates = materialize(search_graphs(asked, graphs, {0: names}, {0: nodes.count()}), "candidates")
         stored = self._read("sets", _SETS, but=f"batch={name}").join(candidates.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct(), "cid", "left_semi")
         mine = sets.select(F.col("cid"), "n", "sh")
         good = verify(candidates, stored.unionByName(mine), threshold).select("cid_a", "cid_b")
