@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions import text
+from inkstone.operators import signature_join
 from inkstone.session import materialize
 
 HASHES = 128
@@ -69,33 +70,50 @@ def minhash(shingles: Column, hashes: int = HASHES) -> Column:
 _TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
 _SINES = [int(abs(math.sin(i + 1)) * 2**32) & 0xFFFFFFFF for i in range(64)]
 _ONE_BLOCK = 55
-#: Shingles hashed together: their words stay in the processor's cache.
-_LANES = 4096
-
-
-def _first_words(blocks: np.ndarray) -> np.ndarray:
-    """First four bytes of md5, as a big-endian number, of padded blocks (16 words, lane)."""
-    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
-    a, b, c, d = (np.full(blocks.shape[1], x, np.uint32) for x in start)
-    # The last three steps do not touch the first word.
-    for i in range(61):
-        if i < 16:
-            f, g = d ^ (b & (c ^ d)), i
-        elif i < 32:
-            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
-        elif i < 48:
-            f, g = b ^ c ^ d, (3 * i + 5) % 16
-        else:
-            f, g = c ^ (b | ~d), (7 * i) % 16
-        f += a
-        f += np.uint32(_SINES[i])
-        f += blocks[g]
-        turned = f << np.uint32(_TURNS[i])
-        f >>= np.uint32(32 - _TURNS[i])
-        turned |= f
-        turned += b
-        a, d, c, b = d, c, b, turned
-    return (b + start[0]).byteswap()
+#: Shingles hashed together: enough that few calls are made, few enough that their words stay in the processor's cache.
+_LANES = 8192
+
+
+def _first_words(blocks: np.ndarray) -> Iterator[np.ndarray]:
+    """First four bytes of md5, as a big-endian number, of padded blocks (16 words, lane), for each salt as their first word."""
+    fixed = lambda x: np.array(x & 0xFFFFFFFF, np.uint32)
+    words = [(i if i < 16 else (5 * i + 1) % 16 if i < 32 else (3 * i + 5) % 16 if i < 48 else 7 * i % 16) for i in range(61)]
+    # What a step adds is the same for all salts but where it takes the first word; words beyond the text are zeros.
+    empty = [not w.any() for w in blocks]
+    added = [None if g == 0 else fixed(_SINES[i]) if empty[g] else blocks[g] + fixed(_SINES[i]) for i, g in enumerate(words)]
+    turns = [(fixed(t), fixed(32 - t)) for t in _TURNS]
+    start = [fixed(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d, f = (np.empty(blocks.shape[1], np.uint32) for _ in range(5))
+    for k in range(HASHES):
+        salt = int.from_bytes(struct.pack(">I", k), "little")
+        for x, y in zip((a, b, c, d), start):
+            x[:] = y
+        # The last three steps do not touch the first word.
+        for i in range(61):
+            if i < 16:
+                np.bitwise_xor(c, d, out=f)
+                f &= b
+                f ^= d
+            elif i < 32:
+                np.bitwise_xor(b, c, out=f)
+                f &= d
+                f ^= c
+            elif i < 48:
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+            else:
+                np.invert(d, out=f)
+                f |= b
+                f ^= c
+            f += a
+            f += fixed(_SINES[i] + salt) if added[i] is None else added[i]
+            left, right = turns[i]
+            np.right_shift(f, right, out=a)
+            f <<= left
+            f |= a
+            f += b
+            a, b, c, d, f = d, f, b, c, a
+        yield (b + start[0]).byteswap()
 
 
 def _prefixes(shingles: list[bytes]) -> np.ndarray:
@@ -110,9 +128,25 @@ def _prefixes(shingles: list[bytes]) -> np.ndarray:
         padded = b"".join((b"\0\0\0\0" + shingles[i] + b"\x80").ljust(64, b"\0") for i in part.tolist())
         blocks = np.frombuffer(padded, "<u4").reshape(-1, 16).T.copy()
         blocks[14] = sizes[part] * 8
-        for k in range(HASHES):
-            blocks[0] = np.uint32(k).byteswap()
-            out[part, k] = _first_words(blocks)
+        for k, words in enumerate(_first_words(blocks)):
+            out[part, k] = words
+    return out
+
+
+def _signed(lists: pa.Array) -> np.ndarray:
+    """(row, salt): the signature of each row's items; zeros for no items."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    # One row of prefixes per distinct shingle.
+    values = _prefixes([v.encode() for v in coded.dictionary.to_pylist()])
+    out = np.zeros((len(lists), HASHES), dtype=np.uint32)
+    full = sizes > 0
+    if full.any():
+        first = (np.cumsum(sizes) - sizes)[full]
+        ends = np.append(first[1:], len(codes))
+        for row, lo, hi in zip(np.flatnonzero(full).tolist(), first.tolist(), ends.tolist()):
+            out[row] = values[codes[lo:hi]].min(0)
     return out
 
 
@@ -123,19 +157,7 @@ def minhashed(rows: DataFrame, key: str, items: str, keep: list[str] = ()) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, PIECE):
                 piece = batch.slice(at, PIECE)
-                lists = piece.column(piece.num_columns - 1)
-                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                coded = lists.flatten().dictionary_encode()
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                # One row of prefixes per distinct shingle.
-                values = _prefixes([v.encode() for v in coded.dictionary.to_pylist()])
-                out = np.zeros((piece.num_rows, HASHES), dtype=np.int64)
-                full = sizes > 0
-                if full.any():
-                    first = (np.cumsum(sizes) - sizes)[full]
-                    ends = np.append(first[1:], len(codes))
-                    for row, lo, hi in zip(np.flatnonzero(full).tolist(), first.tolist(), ends.tolist()):
-                        out[row] = values[codes[lo:hi]].min(0)
+                out = _signed(piece.column(piece.num_columns - 1)).astype(np.int64)
                 offsets = pa.array(np.arange(piece.num_rows + 1) * HASHES, pa.int32())
                 yield pa.record_batch([*piece.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=[*piece.schema.names[:-1], "m"])
 
@@ -168,31 +190,42 @@ def cross_batch(current: DataFrame, history: DataFrame, key: str, author: str, s
     return both.where(other).withColumn("similarity", agreement(F.col("cur_sig"), F.col("old_sig"))).where(F.col("similarity") >= least).select("cur_key", "old_key", "similarity")
 
 
+def _given(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).astype(np.uint32).reshape(len(lists), -1)
+
+
+def _named(author: str) -> Column:
+    return F.lower(F.trim(F.coalesce(author, F.lit("")))).alias("author")
+
+
 def earlier_batches(rows: DataFrame, key: str, author: str, signature: str, batch: str, least: float = 0.5) -> DataFrame:
     """(cur_key, old_key, similarity): every row with every row of an earlier batch whose signature agrees in enough positions.
 
-    Equal signatures are one class: positions are joined and signatures compared per class, and rows come
-    back only where their batches are in order. Any positions do for the match that the agreement implies,
-    so each class posts its rarest ones, in one order for all. Same named authors are left out.
+    Signatures are ``HASHES`` numbers of 32 bits; those of equal rows are one class. Same named authors are left out.
     """
-    positions = int(HASHES * (1 - least)) + 1
-    name = F.lower(F.trim(F.coalesce(author, F.lit(""))))
-    signed = rows.select(F.col(key).alias("k"), name.alias("author"), F.col(batch).alias("batch"), F.col(signature).alias("sig")).where("batch is not null")
+    given = rows.where(F.col(batch).isNotNull() & F.col(signature).isNotNull())
+    chunks = signature_join.chunked(given.select(F.col(key).alias("k"), _named(author), F.col(batch).alias("batch"), signature), _given, PIECE)
+    return _earlier(chunks, signature_join.rows_of(chunks), least)
+
+
+def earlier_batches_by_items(rows: DataFrame, key: str, author: str, items: str, batches: DataFrame, batch: str, least: float = 0.5) -> DataFrame:
+    """The same of rows whose items are signed on the way; ``batches`` has the batch of each key."""
+    chunks = signature_join.chunked(rows.select(F.col(key).alias("k"), _named(author), F.lit(None).cast("string").alias("batch"), items), _signed, PIECE)
+    known = batches.where(F.col(batch).isNotNull()).select(F.col(key).alias("k"), F.col(batch).alias("batch"))
+    return _earlier(chunks, signature_join.rows_of(chunks).drop("batch").join(known, "k"), least)
+
+
+def _earlier(chunks: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """Of chunks and their rows (k, author, batch, digest): signatures are compared per class, rows come back only where their batches are in order."""
     signed = materialize(signed, "signed")
-    classes = materialize(signed.groupBy("sig").agg(F.min("k").alias("cid"), F.min("batch").alias("first"), F.max("batch").alias("last")), "classes")
-    members = materialize(signed.join(classes.select("sig", "cid"), "sig").select("cid", "k", "author", "batch"), "members")
-    values = classes.select("cid", F.posexplode("sig").alias("i", "v")).select("cid", (F.col("v") * HASHES + F.col("i")).alias("h"))
-    shared = values.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = values.join(shared, "h").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    # Values of one class only come first in the order and need no posting.
-    reach = F.lit(positions - HASHES) + F.size("o")
-    posted = ordered.withColumn("p", reach).where("p > 0").select("cid", F.explode(F.slice("o", 1, F.col("p"))).alias("o")).select("cid", "o.h")
-    posted = materialize(posted.join(classes.select("cid", "first", "last"), "cid"), "posted")
-    a, b = (posted.select(*[F.col(c).alias(f"{c}_{p}") for c in ("cid", "first", "last")], "h") for p in "ab")
-    met = a.join(b, "h").where("cid_a < cid_b and (first_a < last_b or first_b < last_a)").select("cid_a", "cid_b").distinct()
-    sig = lambda p: classes.select(F.col("cid").alias(f"cid_{p}"), F.col("sig").alias(f"sig_{p}"))
-    close = met.join(sig("a"), "cid_a").join(sig("b"), "cid_b").select("cid_a", "cid_b", agreement(F.col("sig_a"), F.col("sig_b")).alias("similarity")).where(F.col("similarity") >= least)
-    close = materialize(close, "close")
+    classes = materialize(signed.groupBy("digest").agg(F.min("k").alias("cid"), F.min("batch").alias("first"), F.max("batch").alias("last")), "classes")
+    members = materialize(signed.join(classes.select("digest", "cid"), "digest").select("cid", "k", "author", "batch"), "members")
+    close = signature_join.agreeing(chunks, HASHES, least)
+    # A class may be met in several chunks; its digest names it.
+    for p in "ab":
+        close = close.join(classes.select(F.col("digest").alias(f"digest_{p}"), *[F.col(c).alias(f"{c}_{p}") for c in ("cid", "first", "last")]), f"digest_{p}")
+    close = close.where("cid_a != cid_b and (first_a < last_b or first_b < last_a)").select(F.least("cid_a", "cid_b").alias("cid_a"), F.greatest("cid_a", "cid_b").alias("cid_b"), "similarity")
+    close = materialize(close.distinct(), "close")
     own = classes.where("first < last").select(F.col("cid").alias("c"), F.col("cid").alias("d"), F.lit(1.0).alias("similarity"))
     ways = [close.select(F.col(x).alias("c"), F.col(y).alias("d"), "similarity") for x, y in (("cid_a", "cid_b"), ("cid_b", "cid_a"))]
     side = lambda c, p: members.select(F.col("cid").alias(c), F.col("k").alias(f"{p}_key"), F.col("author").alias(f"{p}_author"), F.col("batch").alias(f"{p}_batch"))

@@ -351,8 +351,8 @@ SELECT c.row_idx AS cur_key, o.row_idx AS old_key, count(*) / 128 AS similarity
 def cross_batch(spark, d):
     """Each row belongs to the earliest batch that names it, as in problem 6."""
     named = table(spark, d, "fingerprints").groupBy("row_idx").agg(F.min("batch_id").alias("batch"))
-    sig = similarity.minhashed(spread(_shingled(spark, d).where(F.size("s") > 0)), "row_idx", "s", ["attempter"])
-    return similarity.earlier_batches(sig.join(named, "row_idx"), "row_idx", "attempter", "m", "batch")
+    rows = spread(_shingled(spark, d).where(F.size("s") > 0))
+    return similarity.earlier_batches_by_items(rows, "row_idx", "attempter", "s", named, "batch")
 
 
 @query(f"""WITH {_ALL_PAIRS}, f AS (SELECT a, b, jac >= .4 AS t, st >= .9 AS u, coalesce(jac >= jm + 2 * greatest(js, .02::DOUBLE) AND jac > jm + .05 AND jac < .4, false) AS ta, coalesce(st >= sm + 2 * greatest(ss, .02::DOUBLE) AND st > sm + .03 AND st < .9, false) AS ua
