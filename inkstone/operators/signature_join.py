@@ -181,8 +181,14 @@ def _meeting(hashes: int, most: int):
     return run
 
 
-def _reading(paths: dict[int, str], hashes: int):
-    """For mapInArrow over (node), those of a chunk together: (node, digest, signature) read from the chunk's file."""
+def _nibbles(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of each position, others than those of the sketches."""
+    bits = (signatures >> np.uint32(2) & np.uint32(15)).astype(np.uint8)
+    return bits[:, ::2] | bits[:, 1::2] << 4
+
+
+def _reading(paths: dict[int, str], hashes: int, whole: bool):
+    """For mapInArrow over (node), those of a chunk together: (node, digest, signature or its nibbles) read from the chunk's file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.sort(np.concatenate([np.zeros(0, np.int64), *[b.column(0).to_numpy() for b in batches]]))
@@ -192,9 +198,22 @@ def _reading(paths: dict[int, str], hashes: int):
             with system.open_input_file(at) as file:
                 row = parquet.ParquetFile(file).read(columns=["nodes", "signatures"])
             place = own & (ROWS - 1)
-            values = _signatures(row["signatures"][0], hashes)[place].view(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * hashes, pa.int32()), pa.array(values.ravel()))
-            yield pa.record_batch([pa.array(own), row["nodes"][0].values.take(pa.array(place)), lists], names=["node", "digest", "signature"])
+            values = _signatures(row["signatures"][0], hashes)[place]
+            packed = pa.array([x.tobytes() for x in (values if whole else _nibbles(values))], pa.binary())
+            yield pa.record_batch([pa.array(own), row["nodes"][0].values.take(pa.array(place)), packed], names=["node", "digest", "signature"])
+
+    return run
+
+
+def _equal(hashes: int, least: float, whole: bool):
+    """For mapInArrow over (a, b, signature_a, signature_b): the pairs that agree, or may by their nibbles, and the share of equal positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[f"signature_{p}"].to_pylist()), np.uint32 if whole else np.uint8).reshape(batch.num_rows, -1) for p in "ab")
+            same = (x == y).sum(1) if whole else ((x ^ y) & 15 == 0).sum(1) + ((x ^ y) >> 4 == 0).sum(1)
+            good = pa.array(np.flatnonzero(same / hashes >= least))
+            yield pa.record_batch([*(batch[c].take(good) for c in ("a", "b", "digest_a", "digest_b")), pa.array(same / hashes).take(good)], names=["a", "b", "digest_a", "digest_b", "similarity"])
 
     return run
 
@@ -215,8 +234,11 @@ def agreeing(chunks: DataFrame, hashes: int, least: float) -> DataFrame:
     messages = chunks.select("chunk", "signatures").mapInArrow(_posting(hashes, posted, buckets, common[order], counts[order]), _MESSAGE)
     met = messages.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_meeting(hashes, hashes - int(np.ceil(hashes * least))), "a bigint, b bigint")
     met = materialize(met.distinct(), "met")
-    wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().repartition(F.shiftright("node", ROW_BITS))
-    read = materialize(wanted.mapInArrow(_reading(paths, hashes), "node bigint, digest binary, signature array<int>"), "read")
-    side = lambda p: read.select(F.col("node").alias(p), F.col("digest").alias(f"digest_{p}"), F.col("signature").alias(f"signature_{p}"))
-    same = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / hashes
-    return met.join(side("a"), "a").join(side("b"), "b").select("digest_a", "digest_b", same.alias("similarity")).where(F.col("similarity") >= least)
+    # Most pairs left fall by nibbles, so that whole signatures are shuffled for few.
+    for whole in (False, True):
+        wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().repartition(F.shiftright("node", ROW_BITS))
+        read = materialize(wanted.mapInArrow(_reading(paths, hashes, whole), "node bigint, digest binary, signature binary"), "read")
+        side = lambda p: read.select(F.col("node").alias(p), F.col("digest").alias(f"digest_{p}"), F.col("signature").alias(f"signature_{p}"))  # noqa: E731, B023
+        both = met.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        met = materialize(both.mapInArrow(_equal(hashes, least, whole), "a bigint, b bigint, digest_a binary, digest_b binary, similarity double"), "met")
+    return met.select("digest_a", "digest_b", "similarity")
